@@ -223,17 +223,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model of a bounded sample of the labelled rows of docs: of each language the rows with the smallest hashed ids, whole texts, up to the bounds."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
     langs = sorted(r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect())
-    samples: dict[str, list[bytes]] = {}
+    keyed = rows.withColumn("key", F.xxhash64("id"))
+    chosen: list[tuple[int, str]] = []
     for lang in langs:
-        part = rows.where(F.col("lang") == lang).withColumn("key", F.xxhash64("id"))
+        # Keys and lengths only: which texts are fetched is settled before any text moves.
         size = 0
-        # Few rows at a time reach the driver: the smallest keys of each task, merged.
-        for r in part.orderBy("key", "id").limit(per_language).select("text").toLocalIterator():
-            b = r[0].encode()
-            if size and size + len(b) > train_bytes:
-                continue
-            size += len(b)
-            samples.setdefault(lang, []).append(b)
+        for r in keyed.where(F.col("lang") == lang).select("key", F.octet_length("text").alias("n")).orderBy("key", "n").limit(per_language).collect():
+            if not size or size + r["n"] <= train_bytes:
+                size += r["n"]
+                chosen.append((r["key"], lang))
+    if not chosen:
+        return None
+    picked = keyed.where(F.col("key").isin(sorted({k for k, _ in chosen})))
+    samples: dict[str, list[bytes]] = {}
+    wanted = set(chosen)
+    for r in sorted(picked.select("key", "lang", "text").collect(), key=lambda r: (r["key"], r["text"])):
+        if (r["key"], r["lang"]) in wanted:
+            samples.setdefault(r["lang"], []).append(r["text"].encode())
     samples = {k: v for k, v in samples.items() if any(v)}
     return Model(samples, order) if samples else None
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, secrets, token_count
+from . import bpe, language, secrets, simhash, token_count, vectors
 from .common import crc_mod
 
 
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held_out)
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def span_digest(df: DataFrame) -> DataFrame:
     """The digest columns of secret spans."""
     base = [r.kind for r in secrets.BASE]
@@ -44,14 +49,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op7_vector_dedup": op7_vector_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
