@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, secrets, simhash, token_count, vectors
+from . import bpe, decontaminate, language, secrets, simhash, token_count, vectors
 from .common import crc_mod
 
 
@@ -54,6 +54,10 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_vector_dedup": op7_vector_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
