@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,9 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of what is now written go as soon as nothing refers to them.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

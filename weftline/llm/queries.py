@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, secrets, simhash, token_count, vectors
+from . import bpe, decontaminate, language, secrets, simhash, suffix_merge, token_count, vectors
 from .common import crc_mod
 
 
@@ -45,6 +45,17 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_merge.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -66,6 +77,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_vector_dedup": op7_vector_dedup,
     "op9_decontaminate": op9_decontaminate,
