@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, secrets, simhash, suffix_merge, token_count, vectors
+from . import bpe, decontaminate, language, secrets, simhash, suffix_merge, token_count, vectors, window_index
 from .common import crc_mod
 
 
@@ -60,6 +60,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_index.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -79,6 +85,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_window_dedup": op6_window_dedup,
     "op7_vector_dedup": op7_vector_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe_codec": op10_bpe_codec,
