@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, secrets, simhash, suffix_merge, token_count, vectors, window_index
+from . import bpe, decontaminate, language, ngram_lm, secrets, simhash, suffix_merge, token_count, vectors, window_index
 from .common import crc_mod
 
 
@@ -71,6 +71,12 @@ def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ngram_lm.score(docs, crc_mod("doc_id", 10) != 0)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_window_dedup": op6_window_dedup,
     "op7_vector_dedup": op7_vector_dedup,
+    "op8_backoff_scores": op8_backoff_scores,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe_codec": op10_bpe_codec,
 }
