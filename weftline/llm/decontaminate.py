@@ -189,3 +189,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, id_col: s
     if out is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     return out.withColumnRenamed("id", id_col)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no test item occurs, with all columns."""
+    sc, at, out = docs.sparkSession.sparkContext, docs.columns.index(text_col), docs
+    for block in item_blocks(items, item_id, item_text, shortest, block_bytes):
+        shared, name = sc.broadcast(block), uuid.uuid4().hex
+
+        def run(batches, shared=shared, name=name):
+            b = cached(("leaks", name), lambda: Block(shared.value, share))
+            for batch in batches:
+                keep = [not (t and b.matches(normal(t))) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

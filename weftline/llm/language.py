@@ -279,3 +279,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+
+
+def known_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: frozenset[str] | None = None) -> DataFrame:
+    """The rows of docs whose text is of a learned language (or of one of `languages`), with all columns. Null texts and texts without a letter go; without a model every row does."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            if m is None:
+                continue
+            for part in pieces_of(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), 8 << 20, f"c{at}"):
+                data, offs = text_bytes(part, f"c{at}")
+                raw = data.tobytes()
+                keep = np.array([LETTER.search(raw[a:b].decode()) is not None for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
+                if languages is not None:
+                    best = m.lengths(data, offs).argmin(axis=1)
+                    keep &= np.array([m.langs[k] in languages for k in best], bool)
+                yield part.filter(pa.array(keep)).rename_columns(batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -219,3 +219,11 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_i
     return classes(saved(fingerprints(docs, size, 1, id_col, text_col)), radius)
 
 
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of near_duplicates: the one with the smallest id (of rows that share that id, any one)."""
+    found = near_duplicates(docs, size, similarity, words, id_col, text_col)
+    kept = saved(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
+    out = docs.join(kept.select("_kept").hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    return out.dropDuplicates([id_col]) if kept.where("_n > 1").limit(1).count() else out
