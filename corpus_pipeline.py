@@ -1,10 +1,52 @@
-"""Corpus pipeline: stages that filter, deduplicate, decontaminate, redact and encode documents."""
+"""Corpus pipeline: documents are identified, deduplicated, decontaminated, redacted and encoded.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
+kept, and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import bpe, decontaminate, language, secrets, simhash
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no language: null texts and texts without a letter."""
+    model = language.train(docs)
+    return language.known_language(docs, model)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    return simhash.one_of_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item occurs."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of each text."""
+    out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", languages),
+    ("simhash_dedup", near_copies),
+    ("decontamination", leaks),
+    ("secret_scan", redaction),
+    ("bpe_encoding", encoding),
+]
 
 #: No SQL expresses the stages; they are tested against brute force.
 ORACLE_SQL = None
