@@ -191,7 +191,7 @@ class Model:
         self.settings: dict[str, str] = {}
         self.schema_name: str | None = None
 
-    def entity(self, name: str, key=(), **columns: ColumnDef) -> EntityDef:
+    def entity(self, name: str, key=(), /, **columns: ColumnDef) -> EntityDef:
         key = (key,) if isinstance(key, str) else tuple(key)
         self.entities[name] = e = EntityDef(name, name, dict(columns), key, schema_name=self.schema_name)
         return e
