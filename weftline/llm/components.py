@@ -27,7 +27,7 @@ def _smallest(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of the nodes that links (columns a, b of one integer type) joins with another. Loops and repeats are ignored."""
+    """node, component (the smallest node reachable) of each node that links (columns a, b of one integer type) join with a smaller one. Loops and repeats are ignored."""
     e = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     while True:
