@@ -780,27 +780,29 @@ class Collection:
     def _ranked(self):
         """Children with their values, in order, cut by limit and offset for each parent: (df, keys, order columns, value)."""
         f, row, keys = self._children()
-        shape = self._shape(row) if self._shape else row._all()
-        v = as_column(shape)
         order = orderings(self._order(row)) if self._order else []
+        cut = self._limit is not None or self._offset is not None
         # Keys of the child break ties, so that a cut is the same each time.
-        e = row._entity
-        ties = [F.col(f"`{row._alias}__{k}`") for k in (e.key or tuple(e.columns))]
-        df = f.df.withColumn("_v", v)
-        if self._distinct:
-            df = df.select(*keys, "_v").distinct()
-            order, ties = [F.col("_v").asc_nulls_last()] if not order else [F.col("_v")], []
+        ties = [F.col(f"`{row._alias}__{k}`") for k in (row._entity.key or tuple(row._entity.columns))]
         rank = None
-        if order or self._limit is not None or self._offset is not None:
-            w = Window.partitionBy(*keys).orderBy(*(order + ties))
-            df = df.withColumn("_rn", F.row_number().over(w))
+        if self._distinct:
+            shape = self._shape(row) if self._shape else row._all()
+            f.df = f.df.withColumn("_v", as_column(shape)).select(*keys, "_v").distinct()
+            order, ties = [F.col("_v").asc_nulls_last()], []
+        if order or cut:
+            f.df = f.df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order + ties))))
+            rank = F.col("_rn")
             low = self._offset or 0
-            if self._offset:
-                df = df.filter(F.col("_rn") > low)
+            if low:
+                f.df = f.df.filter(rank > low)
             if self._limit is not None:
-                df = df.filter(F.col("_rn") <= low + self._limit)
-            rank = F.col("_rn")
-        return df, keys, rank, shape
+                f.df = f.df.filter(rank <= low + self._limit)
+        if not self._distinct:
+            # After the cut: collections in the shape are joined to the items that stay.
+            shape = self._shape(row) if self._shape else row._all()
+            v = as_column(shape)
+            f.df = f.df.withColumn("_v", v)
+        return f.df, keys, rank, shape
 
     def to_list(self) -> Column:
         """An array of the items, empty where there are none."""
