@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions.conditions import MISSING, and_, eq, gt, in_array, is_null, ne, not_in_subquery, or_, placeholder
+from weftline.functions.conditions import MISSING, and_, eq, gt, in_array, is_null, map_with, ne, not_in_subquery, or_, placeholder, sql_join
 from weftline.functions.scalars import int_div, json_array_some, json_merge, search_normalize
 from weftline.operators.query import Database
 from weftline.operators.write import MutationBatch, Writer, violations
@@ -81,6 +81,36 @@ def test_collections(db):
     assert first[0].p.id == 1 and first[2].p is None
 
 
+def test_collection_strategies_agree(db):
+    shape = lambda u: {"id": u.id, "n": u.posts.count(), "ids": u.posts.order_by(lambda p: p.id).select(lambda p: p.id).to_list()}
+    want = values(db.users.where(lambda u: gt(u.age, 30)).select(shape))
+    for name in ("lateral", "cte", "temptable"):
+        assert values(db.with_options(collection_strategy=name).users.where(lambda u: gt(u.age, 30)).select(shape)) == want
+
+
+def test_raw_values_without_mappers(db):
+    assert db.with_options(disable_mappers=True).users.where(lambda u: eq(u.id, 1)).first()["seen"] == 86400
+
+
+def test_fragments(db):
+    q = db.users.select(lambda u: {"id": u.id, "s": sql_join([u.id, u.age, None, F.lit(2)], " + "), "m": map_with(u.name, F.upper)})
+    assert values(q.order_by(lambda r: r.id)) == [(1, 28, "ALICE"), (2, None, "BOB"), (3, 50, "CHLOÉ")]
+
+
+def test_mutation_cte_and_list(db):
+    gone = db.mutation_cte("gone", Writer(db, "posts").delete(lambda p: eq(p.user_id, 1)))
+    got = db.users.inner_join(gone, lambda u, g: eq(u.id, g.user_id), lambda u, g: {"name": u.name, "post": g.id})
+    assert sorted(values(got)) == [("alice", 1), ("alice", 2)] and db.posts.count() == 4
+    assert "gone" in [c.name for c in db.ctes()]
+    db.clear_ctes()
+    assert db.ctes() == []
+
+
+def test_search_function(spark):
+    SchemaManager(spark, M.Model()).use_search_normalize()
+    assert spark.sql("select search_normalize('ÉCOLE Ñ')").first()[0] == "ecole n"
+
+
 def test_count_ignores_limit_and_projection(db):
     assert db.users.limit(1).count() == 3
     assert db.users.select(lambda u: {"n": u.name}).count() == 3

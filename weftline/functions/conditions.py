@@ -217,6 +217,16 @@ def join_conditions(parts, separator: str = "and"):
     return and_(*parts) if separator.strip().lower() == "and" else or_(*parts)
 
 
+def sql_join(parts, separator: str = ", ") -> Column:
+    """Fragments as one piece of SQL text, with a separator between them; empty ones are left out."""
+    return F.expr(separator.join(as_sql(condition(p) if not isinstance(p, Column) else p) for p in parts if p is not None))
+
+
+def map_with(c: Column, change) -> Column:
+    """A value transformed after it is read, null kept: change is a function of a column."""
+    return F.when(c.isNotNull(), change(c))
+
+
 def placeholder(name: str) -> Param:
     return Param(name)
 

@@ -58,7 +58,7 @@ class Row:
         if name in e.columns:
             c = e.columns[name]
             col = named(f"{self._alias}__{name}")
-            if c.mapper:
+            if c.mapper and self._frame.db.mappers:
                 out = c.mapper.decode(col)
                 out.__dict__.update(_mapper=c.mapper, _stored=col)
                 return out
@@ -145,6 +145,22 @@ class Database:
     def __init__(self, spark: SparkSession, model: Model, tables: Callable[[str], DataFrame]):
         self.spark, self.model, self.tables = spark, model, tables
         self._read: dict[str, DataFrame] = {}
+        self._ctes: dict[str, Cte] = {}
+        self.strategy, self.mappers = "aggregate", True
+
+    def with_options(self, collection_strategy: str | None = None, disable_mappers: bool | None = None) -> Database:
+        """The same tables under other options.
+
+        collection_strategy: how a collection's rows are gathered. aggregate (also called cte or lateral: Catalyst takes
+        correlation apart to the same plan) groups all children by key; keys_first (temptable) keeps only those of the
+        parents at hand before, which pays where few parents are left.
+        """
+        other = Database(self.spark, self.model, self.tables)
+        other._read, other._ctes = self._read, self._ctes
+        names = {"aggregate": "aggregate", "cte": "aggregate", "lateral": "aggregate", "keys_first": "keys_first", "temptable": "keys_first"}
+        other.strategy = names[collection_strategy] if collection_strategy else self.strategy
+        other.mappers = not disable_mappers if disable_mappers is not None else self.mappers
+        return other
 
     def raw_frame(self, entity: str) -> DataFrame:
         table = self.model[entity].qualified
@@ -182,7 +198,24 @@ class Database:
         return self.of(cte.df())
 
     def cte(self, name: str, query: Query, materialized: bool = False) -> Cte:
-        return Cte(self, name, query.df(), materialized)
+        return self._kept(Cte(self, name, query.df(), materialized))
+
+    def _kept(self, cte: Cte) -> Cte:
+        self._ctes[cte.name] = cte
+        return cte
+
+    def ctes(self) -> list[Cte]:
+        """The frames named so far."""
+        return list(self._ctes.values())
+
+    def clear_ctes(self) -> None:
+        for c in self._ctes.values():
+            c._df.unpersist()
+        self._ctes.clear()
+
+    def mutation_cte(self, name: str, written) -> Cte:
+        """The rows that a write affects, as a frame; what else reads the table sees it as it was."""
+        return self._kept(Cte(self, name, written.affected))
 
     def aggregation_cte(self, name: str, query: Query, key: Callable, alias: str) -> Cte:
         """One row for each key, with the other columns of the query's rows as an array of structs."""
@@ -192,7 +225,7 @@ class Database:
         used = {_name_of(c) for c in keys.values()}
         rest = [c for c in df.columns if c not in used]
         out = df.groupBy(*[as_column(c).alias(k) for k, c in keys.items()]).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in rest])).alias(alias))
-        return Cte(self, name, out, False, (alias,))
+        return self._kept(Cte(self, name, out, False, (alias,)))
 
 
 def _name_of(c: Column) -> str:
@@ -749,6 +782,9 @@ class Collection:
                 name = f"{alias}__fk{i}"
                 f.df = f.df.withColumn(name, F.col(f"`{alias}__{theirs}`"))
                 keys.append(name)
+        if db.strategy == "keys_first" and keys:
+            asked = self._parent._frame.df.select(*[p.alias(f"{k}_p") for p, k in zip(self._parent_keys(), keys, strict=True)])
+            f.df = f.df.join(asked, functools.reduce(operator.and_, [F.col(f"`{k}`") == F.col(f"`{k}_p`") for k in keys]), "left_semi")
         for step, tests in self._through:
             for t in tests:
                 f = _filtered(f, lambda fr, e=row._entity, a=row._alias: Row(fr, e, a), t)

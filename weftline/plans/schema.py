@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import accents
 from .model import EntityDef, Model
 
 
@@ -76,6 +77,11 @@ class SchemaManager:
             for _, columns in e.statistics:
                 self.spark.sql(f"analyze table {e.qualified} compute statistics for columns {', '.join(columns)}")
 
+    def use_search_normalize(self) -> None:
+        """Makes search_normalize(text) known to SQL."""
+        marked, plain = accents()
+        self.spark.sql(f"create or replace temporary function search_normalize(s string) returns string return lower(translate(s, '{marked}', '{plain}'))")
+
     def columns(self, entity: str) -> list[dict]:
         e = self.model[entity]
         return [{"property": p, "column": c.stored or p, "type": c.type.simpleString(), "required": c.required, "key": p in e.key} for p, c in e.columns.items()]
