@@ -75,7 +75,9 @@ def test_language_of_odd_rows(docs, none):
     assert got[104].lang_pred in model.langs
     assert language.train(none) is None and language.predict(none, model).count() == 0
     assert {r.lang_pred for r in language.predict(docs, None).collect()} == {"und"}
-    assert sorted(r.doc_id for r in language.known_language(docs, model).collect()) == sorted(i for i in got if got[i].lang_pred != "und")
+    kept = {r.doc_id for r in language.known_language(docs, model).collect()}
+    assert kept == {i for i, r in got.items() if r.lang_pred != "und" and r.bits_per_byte < 8} and len(kept) > 100
+    assert language.known_language(docs, None).count() == 0
 
 
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -186,7 +188,7 @@ def test_leaks_equal_brute_force(spark, docs, rows, none):
             text = decontaminate.normal(t or "")
             for k, item in items:
                 n = decontaminate.normal(item or "")
-                if len(n) >= decontaminate.SHORTEST and (d := edit_distance_in(n, text)) <= decontaminate.budget(len(n), 0.05):
+                if len(n) >= decontaminate.SHORTEST and (d := edit_distance_in(n, text)) <= decontaminate.budget(len(n), 0.08):
                     want[i, k] = min(d, want.get((i, k), 99))
         assert {k: v for k, v in got.items() if k[0] != 109} == want
         assert len(want) > 8

@@ -157,8 +157,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, shortest: int, blo
         yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, item_id, distance, start, end (in the normalised text) of each document and test item that occurs in it."""
+def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id, item_id, distance, start, end (in the normalised text) of each document and test item that occurs in it, one row for each two ids."""
     sc = docs.sparkSession.sparkContext
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, distance int, start long, end long"
@@ -188,10 +188,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, id_col: s
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    return out.withColumnRenamed("id", id_col)
+    best = out.groupBy("id", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("best"))
+    return best.select(F.col("id").alias(id_col), "item_id", "best.*")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no test item occurs, with all columns."""
     sc, at, out = docs.sparkSession.sparkContext, docs.columns.index(text_col), docs
     for block in item_blocks(items, item_id, item_text, shortest, block_bytes):

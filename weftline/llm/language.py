@@ -223,7 +223,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model of a bounded sample of the labelled rows of docs: of each language the rows with the smallest hashed ids, whole texts, up to the bounds."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
     langs = sorted(r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect())
-    keyed = rows.withColumn("key", F.xxhash64("id"))
+    keyed = rows.withColumn("key", F.xxhash64("id", "text"))
     chosen: list[tuple[int, str]] = []
     for lang in langs:
         # Keys and lengths only: which texts are fetched is settled before any text moves.
@@ -234,10 +234,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 chosen.append((r["key"], lang))
     if not chosen:
         return None
-    picked = keyed.where(F.col("key").isin(sorted({k for k, _ in chosen})))
+    picked = keyed.where(F.col("key").isin(sorted({k for k, _ in chosen}))).dropDuplicates(["key", "lang"])
     samples: dict[str, list[bytes]] = {}
     wanted = set(chosen)
-    for r in sorted(picked.select("key", "lang", "text").collect(), key=lambda r: (r["key"], r["text"])):
+    for r in sorted(picked.select("key", "lang", "text").collect(), key=lambda r: r["key"]):
         if (r["key"], r["lang"]) in wanted:
             samples.setdefault(r["lang"], []).append(r["text"].encode())
     samples = {k: v for k, v in samples.items() if any(v)}
@@ -281,8 +281,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
-def known_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: frozenset[str] | None = None) -> DataFrame:
-    """The rows of docs whose text is of a learned language (or of one of `languages`), with all columns. Null texts and texts without a letter go; without a model every row does."""
+def known_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: frozenset[str] | None = None, most_bits: float = 8.0) -> DataFrame:
+    """The rows of docs whose text is of a learned language (or of one of `languages`), with all columns.
+
+    Null texts and texts without a letter go, and those that no language's model codes in fewer than
+    most_bits bits a byte, which is what unseen bytes cost. Without a model every row goes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -293,11 +297,11 @@ def known_language(docs: DataFrame, model: Model | None, text_col: str = "text",
                 continue
             for part in pieces_of(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), 8 << 20, f"c{at}"):
                 data, offs = text_bytes(part, f"c{at}")
-                raw = data.tobytes()
-                keep = np.array([LETTER.search(raw[a:b].decode()) is not None for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
+                raw, bits = data.tobytes(), m.lengths(data, offs)
+                keep = bits.min(axis=1) < most_bits * np.diff(offs)
+                keep &= np.array([LETTER.search(raw[a:b].decode()) is not None for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], bool)
                 if languages is not None:
-                    best = m.lengths(data, offs).argmin(axis=1)
-                    keep &= np.array([m.langs[k] in languages for k in best], bool)
+                    keep &= np.array([m.langs[k] in languages for k in bits.argmin(axis=1)], bool)
                 yield part.filter(pa.array(keep)).rename_columns(batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -75,20 +75,23 @@ def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - recall) / math.log1p(-hit))
 
 
-def usable(x) -> bool:
-    if not x or any(v is None for v in x):
-        return False
-    a = np.asarray(x, np.float64)
-    return bool(np.isfinite(a).all() and a.any())
+def packed(v: pa.Array, group: pa.Array) -> list[bytes | None]:
+    """Each vector as bytes of doubles, or None if it can link with nothing."""
+    offs = v.offsets.to_numpy().astype(np.int64)
+    flat = v.values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f8")
+    before = lambda x: np.concatenate([[0], np.cumsum(x)])
+    bad, some = before(~np.isfinite(flat)), before(flat != 0)
+    a, b = offs[:-1], offs[1:]
+    good = (bad[b] == bad[a]) & (some[b] > some[a]) & v.is_valid().to_numpy(zero_copy_only=False) & group.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[x:y].tobytes() if ok else None for x, y, ok in zip(a.tolist(), b.tolist(), good.tolist(), strict=True)]
 
 
 def prepared(rows: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
-    """id, group, vec binary (doubles; null if it can link with nothing)."""
+    """id, grp, vec binary (doubles; null if it can link with nothing)."""
 
     def run(batches):
         for b in batches:
-            out = [np.asarray(x, "<f8").tobytes() if usable(x) and g is not None else None for x, g in zip(b.column("v").to_pylist(), b.column("g").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("g"), pa.array(out, pa.binary())], ["id", "grp", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("g"), pa.array(packed(b.column("v"), b.column("g")), pa.binary())], ["id", "grp", "vec"])
 
     kinds = rows.schema[id_col].dataType.simpleString(), rows.schema[group_col].dataType.simpleString()
     return rows.select(rows[id_col].alias("id"), rows[group_col].alias("g"), rows[vector_col].alias("v")).mapInArrow(run, f"id {kinds[0]}, grp {kinds[1]}, vec binary")
