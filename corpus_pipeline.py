@@ -14,7 +14,7 @@ from weftline.llm import bpe, decontaminate, language, secrets, simhash
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: null texts and texts without a letter."""
+    """Drops documents of no language: null texts, texts without a letter, and texts that no language's model makes shorter."""
     model = language.train(docs)
     return language.known_language(docs, model)
 
