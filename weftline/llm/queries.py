@@ -98,4 +98,23 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL says the same. The others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_window_dedup": r"""
+with lists as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+words as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from lists),
+windows as (
+  select *, case when count(*) over f = 20 then string_agg(word, ' ') over f end as s
+  from words window f as (partition by doc_id order by pos rows between current row and 19 following)
+),
+repeats as (select *, s is not null and row_number() over (partition by s order by doc_id, pos) > 1 as later from windows),
+covered as (select *, bool_or(later) over (partition by doc_id order by pos rows between 19 preceding and current row) as gone from repeats)
+select l.doc_id, count(c.word) as n_words, count(*) filter (where c.gone) as n_removed, sha256(coalesce(string_agg(c.word, ' ' order by c.pos) filter (where not c.gone), '')) as kept_sha256
+from lists l left join covered c using (doc_id) group by l.doc_id""",
+    "op7_vector_dedup": """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+reached as (select vec_id as a, vec_id as b from v union select r.a, l.b from reached r join links l on r.b = l.a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, low as component_id, vec_id = low as kept
+from v join (select a, min(b) as low from reached group by a) on a = vec_id""",
+}
