@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, saved, texts
 
 #: Text bytes of a chunk and of what a bucket serves.
-CHUNK, BUCKET = 12 << 20, 24 << 20
+CHUNK, BUCKET = 12 << 20, 12 << 20
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
