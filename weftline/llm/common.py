@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 #: Words of the digest contracts: runs of anything but space and \t \n \v \f \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def worker_cache() -> dict:
@@ -46,10 +47,13 @@ def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and reread, so that lineage ends there and later readers don't compute it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files of what is now written go as soon as nothing refers to them.
-    gc.collect()
-    spark._jvm.System.gc()
+    # The shuffle files behind what is now written go with the query that made them.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
