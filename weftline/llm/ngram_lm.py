@@ -45,7 +45,7 @@ class Chunk:
     """Token and history of each position of a chunk's texts, and the distinct ones in order."""
 
     def __init__(self, batch_texts: list[str], train: np.ndarray):
-        rows = [word_hashes(t) for t in batch_texts]
+        rows = [np.array(word_hashes(t), np.uint64) for t in batch_texts]
         self.sizes = np.array([len(r) + 1 for r in rows], np.int64)
         ends = np.cumsum(self.sizes)
         n = int(ends[-1]) if len(ends) else 0
@@ -53,7 +53,8 @@ class Chunk:
         last = np.zeros(n, bool)
         last[ends - 1] = True
         token[last] = END
-        token[~last] = np.fromiter((x for r in rows for x in r), np.uint64, n - len(rows))
+        token[~last] = np.concatenate(rows) if rows else []
+        del rows
         history = np.empty(n, np.uint64)
         history[1:] = token[:-1]
         history[ends - self.sizes] = BEGIN
