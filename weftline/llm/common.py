@@ -32,6 +32,14 @@ def cached(key, build):
     return cache[key]
 
 
+def latest(kind: str, name, build):
+    """As cached, but a worker keeps one of a kind only."""
+    cache = worker_cache()
+    if cache.get(kind, (None,))[0] != name:
+        cache[kind] = (name, build())
+    return cache[kind][1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (tests), one of our own."""
     sc = spark.sparkContext
@@ -67,6 +75,20 @@ def dropped(*frames: DataFrame) -> None:
                 p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch that a worker gets at a time.
+BATCH = "8m"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = "67108864b"
+
+
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of bounded bytes, so that a worker's memory doesn't depend on how long texts are. A session's own setting holds."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_BYTES, BATCH)
+    return df.mapInArrow(f, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list:
     """The batch's strings, null as empty."""
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, texts
+from .common import latest, mapped, texts
 
 #: Bytes of normalised items in a broadcast block.
 BLOCK_BYTES = 4 << 20
@@ -168,7 +168,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: s
         shared, name = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name):
-            b = cached(("leaks", name), lambda: Block(shared.value, share))
+            b = latest("leaks", name, lambda: Block(shared.value, share))
             for batch in batches:
                 rows = {}
                 for doc, t in zip(batch.column("id"), texts(batch), strict=True):
@@ -184,7 +184,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: s
                 item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or item_type) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "distance", "start", "end"])
 
-        part = own.mapInArrow(run, schema)
+        part = own.transform(mapped, run, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
@@ -199,10 +199,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, text_c
         shared, name = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name):
-            b = cached(("leaks", name), lambda: Block(shared.value, share))
+            b = latest("leaks", name, lambda: Block(shared.value, share))
             for batch in batches:
                 keep = [not (t and b.matches(normal(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.transform(mapped, run, docs.schema)
     return out

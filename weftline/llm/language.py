@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, text_bytes
+from .common import mapped, pieces_of, text_bytes
 
 UNKNOWN = "und"
 MOST_LANGUAGES = 64
@@ -278,7 +278,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).transform(mapped, run, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
 def known_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: frozenset[str] | None = None, most_bits: float = 8.0) -> DataFrame:
@@ -304,4 +304,4 @@ def known_language(docs: DataFrame, model: Model | None, text_col: str = "text",
                     keep &= np.array([m.langs[k] in languages for k in bits.argmin(axis=1)], bool)
                 yield part.filter(pa.array(keep)).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import cached, texts
+from .common import cached, mapped, texts
 
 
 @dataclass(frozen=True)
@@ -346,7 +346,7 @@ def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], ["id", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).transform(mapped, run, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", with_mark: str = "[SECRET]") -> DataFrame:
@@ -376,4 +376,4 @@ def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
             columns[at] = pa.array(out, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, saved, texts
+from .common import WORD_BYTES, mapped, saved, texts
 from .components import components
 from .shards import ASKS, Union, blocked, groups
 
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, size: int, words: int = 1, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.binary())], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp binary")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).transform(mapped, run, f"id {kind}, fp binary")
 
 
 class BKTree:
@@ -185,7 +185,7 @@ def likely_shards(nodes: DataFrame, n: int, bits: int, radius: int, rng_seed: in
                 rows = np.repeat(np.arange(part.num_rows), tables)
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(rows)), part.column("fp").take(pa.array(rows)), pa.array(keys.ravel())], ["node", "fp", "key"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "node long, fp binary, key long")
+    return nodes.select("node", "fp").transform(mapped, run, "node long, fp binary, key long")
 
 
 def classes(fps: DataFrame, radius: int, words: int = 1) -> DataFrame:
@@ -196,7 +196,7 @@ def classes(fps: DataFrame, radius: int, words: int = 1) -> DataFrame:
     else:
         nodes = saved(nodes)
         shards = likely_shards(nodes, nodes.count(), 64 * words, radius)
-    links = blocked(shards, "key", "node", CAP).mapInArrow(lambda it: shard_links(it, radius), "a long, b long")
+    links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
     parts = components(links)
     of = nodes.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("part"))
     low = of.groupBy("part").agg(F.min("first").alias("component_id"))

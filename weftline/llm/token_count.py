@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import cached, pieces_of, texts
+from .common import cached, mapped, pieces_of, texts
 
 #: Bytes of text encoded at a time.
 BATCH_BYTES = 4 << 20
@@ -84,4 +84,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).transform(mapped, run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

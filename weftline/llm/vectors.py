@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, saved
+from .common import cached, mapped, saved
 from .components import components
 from .shards import ASKS, Union, blocked, groups
 
@@ -94,7 +94,7 @@ def prepared(rows: DataFrame, id_col: str, vector_col: str, group_col: str) -> D
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("g"), pa.array(packed(b.column("v"), b.column("g")), pa.binary())], ["id", "grp", "vec"])
 
     kinds = rows.schema[id_col].dataType.simpleString(), rows.schema[group_col].dataType.simpleString()
-    return rows.select(rows[id_col].alias("id"), rows[group_col].alias("g"), rows[vector_col].alias("v")).mapInArrow(run, f"id {kinds[0]}, grp {kinds[1]}, vec binary")
+    return rows.select(rows[id_col].alias("id"), rows[group_col].alias("g"), rows[vector_col].alias("v")).transform(mapped, run, f"id {kinds[0]}, grp {kinds[1]}, vec binary")
 
 
 def keyed(nodes: DataFrame, width: int, tables: int) -> DataFrame:
@@ -121,7 +121,7 @@ def keyed(nodes: DataFrame, width: int, tables: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, every.take(take), t, pa.array(keys.ravel())], ["node", "grp", "vec", "weight", "keys", "t", "k"])
 
     kind = nodes.schema["grp"].dataType.simpleString()
-    out = nodes.select("node", "grp", "vec", "weight").mapInArrow(run, f"node long, grp {kind}, vec binary, weight long, keys binary, t int, k int")
+    out = nodes.select("node", "grp", "vec", "weight").transform(mapped, run, f"node long, grp {kind}, vec binary, weight long, keys binary, t int, k int")
     return out.select("node", "vec", "weight", "keys", "t", F.xxhash64("grp", F.octet_length("vec"), "t", "k").alias("key"))
 
 
@@ -166,7 +166,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, recall: float = 0.
     nodes = saved(own.where("vec is not null").groupBy("node", "grp", "vec").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first")))
     width, tables = plan(nodes.count(), threshold, recall)
     shards = blocked(keyed(nodes, width, tables), "key", "node", CAP)
-    links = saved(shards.mapInArrow(lambda it: block_links(it, threshold), "a long, b long, w long"))
+    links = saved(shards.transform(mapped, lambda it: block_links(it, threshold), "a long, b long, w long"))
     parts = components(links.select("a", "b"))
     sums = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w"))
     of = nodes.join(parts, "node", "left").join(sums, "node", "left").select("node", "first", F.coalesce("component", "node").alias("part"), (F.coalesce("w", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
