@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import merged, window_hashes
-from .common import WORD_BYTES, dropped, saved, text_bytes
+from .common import WORD_BYTES, dropped, mapped, saved, text_bytes
 from .repeats import by_document, columns, find_runs, with_key, word_elements
 
 #: Words of an anchor.
@@ -91,7 +91,9 @@ class WindowIndex:
         for r in self.runs():
             every = every.unionByName(r.withColumn("new", F.lit(False)))
         of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("new").alias("some"), F.min("content").alias("low"), F.max("content").alias("high"))
-        some = saved(every.join(of.where("c > 1 and some"), "anchor").select(*every.columns, (F.col("low") != F.col("high")).alias("mixed")))
+        # Written first, so that the join's shuffles are its own and a hot anchor's can be split.
+        of = saved(of.where("c > 1 and some"))
+        some = saved(every.join(of, "anchor").select(*every.columns, (F.col("low") != F.col("high")).alias("mixed")))
         if more:
             self.remember(fresh)
         dropped(fresh)
@@ -104,7 +106,7 @@ class WindowIndex:
         ours = keyed.select("doc", F.lit(True).alias("new")).distinct()
         size = self.window
         listed = by_document(known, reps).select("id", "doc", "text", "rows")
-        windows = saved(listed.mapInArrow(lambda it: window_rows(it, size), "anchor long, hash long, first long, doc long, start int"))
+        windows = saved(listed.transform(mapped, lambda it: window_rows(it, size), "anchor long, hash long, first long, doc long, start int"))
         # Equal rows are one document: their windows have one place.
         heads = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("at")).where("c > 1")
         edges = windows.join(heads, ["anchor", "hash"]).where(F.struct(*PLACE) > F.col("at")).select("doc", "start", F.lit(1).alias("n"))
@@ -158,4 +160,4 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     whole = with_key(docs, id_col, text_col).withColumnRenamed("id", "own")
-    return by_document(whole, spans, "left").select("own", "text", "rows").mapInArrow(run, f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string")
+    return by_document(whole, spans, "left").select("own", "text", "rows").transform(mapped, run, f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string")
