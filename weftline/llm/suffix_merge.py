@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE_HASH, merged, window_hashes
-from .common import dropped, saved, text_bytes
+from .common import dropped, mapped, saved, text_bytes
 from .repeats import by_document, byte_elements, columns, find_runs, with_key
 
 #: Bytes of an anchor.
 ANCHOR = 32
-#: Contents of an anchor that are merged in one task.
-CAP = 512
+#: Contents of an anchor that are merged in one task: up to 1.4 million windows, some tens of MB.
+CAP = 8192
 #: Windows refined at a time.
 ROUND = 1 << 19
 
@@ -134,16 +134,18 @@ def repeated_spans(keyed: DataFrame, window: int, k: int = ANCHOR, cap: int = CA
     """doc, start, n: runs of windows that occur elsewhere too."""
     every = saved(find_runs(keyed, byte_elements, window, k).drop("first"))
     of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"))
-    some = saved(every.join(of.where("c > 1"), "anchor").select("anchor", "content", "doc", "start", "n", (F.col("low") != F.col("high")).alias("mixed")))
+    # Written first, so that the join's shuffles are its own and a hot anchor's can be split.
+    of = saved(of.where("c > 1"))
+    some = saved(every.join(of, "anchor").select("anchor", "content", "doc", "start", "n", (F.col("low") != F.col("high")).alias("mixed")))
     dropped(every)
     plain = some.where("not mixed").select("doc", "start", "n")
     mixed = some.where("mixed").drop("mixed")
     contents = saved(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "start", "n")).alias("at")))
     crowd = contents.groupBy("anchor").agg((F.count(F.lit(1)) > cap).alias("crowded")).where("crowded")
     reps = contents.join(crowd, "anchor", "left").select("anchor", "c", "at.*", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    texts = saved(by_document(keyed, reps).select("doc", "text", "rows").mapInArrow(lambda it: stretches(it, window), "anchor long, hash long, doc long, start int, n int, c long, text binary"))
+    texts = saved(by_document(keyed, reps).select("doc", "text", "rows").transform(mapped, lambda it: stretches(it, window), "anchor long, hash long, doc long, start int, n int, c long, text binary"))
     shards = texts.where("hash is null").select("anchor", "doc", "start", "n", "c", "text")
-    edges = shards.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: merge_shards(it, window), "doc long, start int, n int")
+    edges = shards.repartition("anchor").sortWithinPartitions("anchor").transform(mapped, lambda it: merge_shards(it, window), "doc long, start int, n int")
     windows = texts.where("hash is not null")
     again = windows.groupBy("anchor", "hash").agg(F.sum("c").alias("times")).where("times > 1")
     crowded = windows.where("c = 1").join(again, ["anchor", "hash"]).select("doc", "start", "n")
@@ -173,4 +175,4 @@ def deduplicate(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offs)), pa.array(removed, span), pa.array(kept, pa.binary())], ["id", "n_bytes", "removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return by_document(keyed, spans, "left").select("id", "text", "rows").mapInArrow(run, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return by_document(keyed, spans, "left").select("id", "text", "rows").transform(mapped, run, f"id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
