@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE_HASH, runs
-from .common import WORD_BYTES, pieces_of, text_bytes
+from .common import WORD_BYTES, mapped, pieces_of, text_bytes
 
 #: Bytes of text worked on at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 RUN = "anchor long, content long, doc long, first long, start int, n int"
 
@@ -54,7 +54,7 @@ def find_runs(keyed: DataFrame, elements, window: int, k: int) -> DataFrame:
                     ["anchor", "content", "doc", "first", "start", "n"],
                 )
 
-    return keyed.mapInArrow(run, RUN)
+    return keyed.transform(mapped, run, RUN)
 
 
 def by_document(keyed: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
