@@ -87,6 +87,40 @@ def test_near_copies_keep_one_of_each(docs, rows, none):
     assert simhash.one_of_each(docs.union(docs)).count() == len(kept)
 
 
+def shingles_of(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("cap", [512, 3])
+def test_near_copies_are_joined_by_exact_similarity(spark, cap, monkeypatch):
+    """Templated texts of similarity 0.6 to 0.78, and unlike texts with much-repeated boilerplate, all stay."""
+    monkeypatch.setattr(simhash, "CAP", cap)
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, base = [], word(400)
+    for k in range(12):  # a tail of its own each: similarity (396 - tail) / (396 + tail)
+        tail = 52 + 4 * k
+        rows.append((len(rows), " ".join(base[: 400 - tail] + word(tail))))
+    for _ in range(4):
+        rows.append((len(rows), " ".join(word(200) + "the same line again and again ".split() * 60)))
+    for _ in range(3):  # copies with a changed tail of 20 words: similarity 0.9
+        rows.append((len(rows), " ".join(base[:380] + word(20))))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, rows[14][1])]
+    sets = {i: shingles_of(t) for i, t in rows}
+    joined = Sets()
+    for i in sets:
+        for j in sets:
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                joined.join(i, j)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component_id for r in found} == {i: joined.find(i) for i in sets}
+
+
 def removed_bytes(texts, window=200):
     count = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
     out = []

@@ -17,6 +17,10 @@ selective: keys are samples of the bits, as many as a pair at the radius needs t
 share one with probability 0.95; their width grows with the logarithm of the
 number of fingerprints, so that shards stay small.
 
+Near duplicates of the pipeline are joined by exact similarity: groups that the
+fingerprints link are only candidates, whose shingle sets are then compared, those
+of a large group block by block.
+
 Null and wordless texts have the fingerprint zero, and link as any other.
 Texts with fewer words than a shingle have one shingle. Rows with equal ids are
 separate documents of that id.
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, mapped, saved, texts
 from .components import components
+from .repeats import with_key
 from .shards import ASKS, Union, blocked, groups
 
 #: Rows of a block.
@@ -188,14 +193,10 @@ def likely_shards(nodes: DataFrame, n: int, bits: int, radius: int, rng_seed: in
     return nodes.select("node", "fp").transform(mapped, run, "node long, fp binary, key long")
 
 
-def classes(fps: DataFrame, radius: int, words: int = 1) -> DataFrame:
+def classes(fps: DataFrame, radius: int) -> DataFrame:
     """id, fp, component_id (the smallest id reachable over links of at most `radius` bits) of saved rows id, fp."""
     nodes = fps.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("fp"))
-    if words == 1:
-        shards = exact_shards(nodes.select("node", "fp"), radius)
-    else:
-        nodes = saved(nodes)
-        shards = likely_shards(nodes, nodes.count(), 64 * words, radius)
+    shards = exact_shards(nodes.select("node", "fp"), radius)
     links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
     parts = components(links)
     of = nodes.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("part"))
@@ -204,14 +205,93 @@ def classes(fps: DataFrame, radius: int, words: int = 1) -> DataFrame:
     return fps.join(names, "fp").select("id", "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """id, doc, node (a hash of the set of shingles), fp of the distinct shingles of each row of docs (id, doc, text)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.encode(), size)) for t in texts(b)]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            fps = [b"".join(majority(mixed(h, k)).to_bytes(8, "big") for k in range(words)) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), pa.array(node), pa.array(fps, pa.binary())], ["id", "doc", "node", "fp"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.transform(mapped, run, f"id {kind}, doc long, node long, fp binary")
+
+
+def is_near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted arrays without repeats reaches `similarity`."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(b) < similarity * len(a) - 1:
+        return False
+    if not len(a):
+        return True
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both) >= similarity
+
+
+def verified_links(batches, similarity: float):
+    """Links (a, b) that join the sets of each block whose exact similarity suffices: at most one for each set and class of already linked ones."""
+    for g in groups(batches, ["part", "block"]):
+        sets = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
+        nodes, roles = g.column("node").to_pylist(), g.column("role").to_pylist()
+        held: list[list[int]] = []
+        out_a, out_b = [], []
+        for i, role in enumerate(roles):  # the block's own rows come first
+            hit, rest = [], []
+            for members in held:
+                j = next((j for j in members if nodes[i] != nodes[j] and is_near(sets[i], sets[j], similarity)), None)
+                if j is None:
+                    rest.append(members)
+                    continue
+                hit += members
+                out_a.append(nodes[i])
+                out_b.append(nodes[j])
+            own = hit if role == ASKS else [*hit, i]
+            held = [*rest, own] if own else rest
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+
+def verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a, b: links between nodes (node, doc) of one part whose shingle sets, made anew from the rows of docs (doc, text), are similar enough."""
+    member = parts.select("node", F.col("component").alias("part")).union(parts.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct())
+    asked = saved(blocked(member.join(nodes.select("node", "doc"), "node"), "part", "node", CAP))
+    rows = docs.select("doc", "text").join(asked.hint("shuffle_hash"), "doc").dropDuplicates(["doc", "block"])
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.encode(), size)).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), b.column("role"), b.column("node"), pa.array(sets, pa.binary())], ["part", "block", "role", "node", "shingles"])
+
+    sets = rows.transform(mapped, run, "part long, block int, role int, node long, shingles binary")
+    dealt = sets.repartition("part", "block").sortWithinPartitions("part", "block", "role")
+    return dealt.transform(mapped, lambda it: verified_links(it, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, component_id: documents joined where their fingerprints of words * 64 bits differ as those of shingle sets of that Jaccard similarity do, one and a half standard errors allowed."""
+    """id, fp, component_id: documents joined over pairs whose shingle sets have that Jaccard similarity.
+
+    Fingerprints of words * 64 bits of the distinct shingles tell which pairs may
+    have it (one and a half standard errors allowed); the sets of such groups are
+    compared before they are joined.
+    """
     bits = 64 * words
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
     radius = round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
-    fps = saved(fingerprints(docs, size, words, id_col, text_col))
-    return classes(fps, radius, words)
+    own = with_key(docs, id_col, text_col)
+    rows = saved(shingle_sets(own, size, words))
+    nodes = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc").alias("doc")))
+    shards = likely_shards(nodes, nodes.count(), bits, radius)
+    links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
+    parts = components(verified(own, nodes, components(links), size, similarity))
+    of = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    low = of.groupBy("part").agg(F.min("id").alias("component_id"))
+    return of.join(low, "part").select("id", "fp", "component_id")
 
 
 def linked(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
