@@ -121,6 +121,22 @@ def test_near_copies_are_joined_by_exact_similarity(spark, cap, monkeypatch):
     assert {r.id: r.component_id for r in found} == {i: joined.find(i) for i in sets}
 
 
+@pytest.mark.parametrize("length", [9, 40, 400])
+def test_near_copies_at_the_threshold_are_found(spark, length):
+    """Recall against brute force of pairs whose exact similarity is 0.8 or just above."""
+    rng = np.random.default_rng(length)
+    rows, pairs = [], 150
+    for k in range(pairs):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, length)]
+        n = length - 4  # shingles; the other text lacks a fifth of them at the end
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: length - n // 5]))]
+    sets = {i: shingles_of(t) for i, t in rows}
+    assert all(0.8 <= jaccard(sets[2 * k], sets[2 * k + 1]) < 0.81 for k in range(pairs))
+    found = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.97 * pairs
+    assert all(found[i] // 2 == i // 2 for i in found)
+
+
 def removed_bytes(texts, window=200):
     count = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
     out = []

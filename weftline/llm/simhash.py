@@ -12,10 +12,10 @@ data; a hot shard is cut into blocks that all its members ask.
 
 `exact_shards` shares a shard whenever at most `radius` bits differ: the bits are
 cut into radius + 2 bands, of which two must agree in such a pair, so each pair
-of bands is a key. `likely_shards` serves wide radii, for which no such cut is
-selective: keys are samples of the bits, as many as a pair at the radius needs to
-share one with probability 0.95; their width grows with the logarithm of the
-number of fingerprints, so that shards stay small.
+of bands is a key. `set_keys` serves wide radii, for which no such cut is
+selective: a key is made of the least hashes of the shingle set under some
+permutations, which two sets share with their Jaccard similarity. A pair at the
+threshold shares a key with probability 0.995, whatever the number of documents.
 
 Near duplicates of the pipeline are joined by exact similarity: groups that the
 fingerprints link are only candidates, whose shingle sets are then compared, those
@@ -44,6 +44,8 @@ from .shards import ASKS, Union, blocked, groups
 
 #: Rows of a block.
 CAP = 512
+#: Least hashes of a key of a shingle set, and the probability that a pair at the threshold shares a key.
+WIDTH, RECALL = 3, 0.995
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -171,26 +173,18 @@ def exact_shards(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.withColumn("_v", value).select("node", "fp", F.explode(keys).alias("key"))
 
 
-def likely_shards(nodes: DataFrame, n: int, bits: int, radius: int, rng_seed: int = 7) -> DataFrame:
-    """node, fp, key: fingerprints under samples of their bits."""
-    width = max(12, math.ceil(math.log2(max(n, 2))) - 3)
-    tables = math.ceil(math.log(0.05) / math.log1p(-((1 - 0.85 * radius / bits) ** width)))
-    rng = np.random.default_rng(rng_seed)
-    picks = np.stack([rng.choice(bits, width, replace=False) for _ in range(tables)])
-
-    def run(batches):
-        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        names = np.arange(tables, dtype=np.uint64) << np.uint64(48)
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                raw = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, bits // 8)
-                on = np.unpackbits(raw, axis=1)
-                keys = ((on[:, picks].astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) | names).view(np.int64)
-                rows = np.repeat(np.arange(part.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(rows)), part.column("fp").take(pa.array(rows)), pa.array(keys.ravel())], ["node", "fp", "key"])
-
-    return nodes.select("node", "fp").transform(mapped, run, "node long, fp binary, key long")
+def set_keys(h: np.ndarray, similarity: float, recall: float, width: int) -> np.ndarray:
+    """Keys of a set's sorted hashes, each made of its least hashes under `width` permutations; as many as two sets at the similarity need to share one with probability `recall`."""
+    tables = math.ceil(math.log(1 - recall) / math.log1p(-(similarity**width)))
+    if not len(h):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(7)
+    flip, times = rng.integers(0, 2**64, (2, tables * width, 1), np.uint64)
+    least = np.full(tables * width, ~np.uint64(0))
+    for at in range(0, len(h), 4096):
+        x = (h[None, at : at + 4096] ^ flip) * (times | np.uint64(1))
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(least.reshape(tables, width))], np.uint64).view(np.int64)
 
 
 def classes(fps: DataFrame, radius: int) -> DataFrame:
@@ -205,18 +199,19 @@ def classes(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(names, "fp").select("id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """id, doc, node (a hash of the set of shingles), fp of the distinct shingles of each row of docs (id, doc, text)."""
+def shingle_sets(docs: DataFrame, size: int, similarity: float, words: int) -> DataFrame:
+    """id, doc, node (a hash of the set of shingles), fp and set_keys of the distinct shingles of each row of docs (id, doc, text)."""
 
     def run(batches):
         for b in batches:
             sets = [np.unique(shingle_hashes(t.encode(), size)) for t in texts(b)]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             fps = [b"".join(majority(mixed(h, k)).to_bytes(8, "big") for k in range(words)) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), pa.array(node), pa.array(fps, pa.binary())], ["id", "doc", "node", "fp"])
+            keys = pa.array([set_keys(h, similarity, RECALL, WIDTH) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), pa.array(node), pa.array(fps, pa.binary()), keys], ["id", "doc", "node", "fp", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.transform(mapped, run, f"id {kind}, doc long, node long, fp binary")
+    return docs.transform(mapped, run, f"id {kind}, doc long, node long, fp binary, keys array<long>")
 
 
 def is_near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -276,17 +271,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, wor
     """id, fp, component_id: documents joined over pairs whose shingle sets have that Jaccard similarity.
 
     Fingerprints of words * 64 bits of the distinct shingles tell which pairs may
-    have it (one and a half standard errors allowed); the sets of such groups are
-    compared before they are joined.
+    have it (five standard errors allowed: in texts of few shingles the bits differ
+    more often than by the angle); the sets of such groups are compared before they
+    are joined.
     """
     bits = 64 * words
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
-    radius = round(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+    radius = round(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
     own = with_key(docs, id_col, text_col)
-    rows = saved(shingle_sets(own, size, words))
-    nodes = saved(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc").alias("doc")))
-    shards = likely_shards(nodes, nodes.count(), bits, radius)
+    rows = saved(shingle_sets(own, size, similarity, words))
+    nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc").alias("doc"), F.min("keys").alias("keys")).transform(saved)
+    shards = nodes.select("node", "fp", F.explode("keys").alias("key"))
     links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
     parts = components(verified(own, nodes, components(links), size, similarity))
     of = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
