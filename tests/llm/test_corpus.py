@@ -137,6 +137,13 @@ def test_near_copies_at_the_threshold_are_found(spark, length):
     assert all(found[i] // 2 == i // 2 for i in found)
 
 
+def test_unlike_texts_of_one_id_or_none_stay(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(1, text(0)), (1, text(1)), (None, text(2)), (None, text(3)), (2, text(0)), (None, text(1)), (1, text(4)), (0, text(4)), (None, text(3))]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=lambda r: r[1]) == [(1, text(0)), (1, text(1)), (None, text(2)), (None, text(3)), (0, text(4))]
+
+
 def removed_bytes(texts, window=200):
     count = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
     out = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE_HASH, runs
@@ -17,10 +17,14 @@ BLOCK = 1 << 20
 RUN = "anchor long, content long, doc long, first long, start int, n int"
 
 
+def doc_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of id and text (null as empty)."""
+    return F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, doc (a hash of id and text: equal rows share it), text (null as empty)."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("doc"), text.alias("text"))
+    return docs.select(docs[id_col].alias("id"), doc_key(docs, id_col, text_col).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
 def byte_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, mapped, saved, texts
 from .components import components
-from .repeats import with_key
+from .repeats import doc_key, with_key
 from .shards import ASKS, Union, blocked, groups
 
 #: Rows of a block.
@@ -268,7 +268,7 @@ def verified(docs: DataFrame, nodes: DataFrame, parts: DataFrame, size: int, sim
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, component_id: documents joined over pairs whose shingle sets have that Jaccard similarity.
+    """id, doc (a hash of id and text), fp, component_id, kept: documents joined over pairs whose shingle sets have that Jaccard similarity. kept tells the row of the smallest id (then doc), null ids last.
 
     Fingerprints of words * 64 bits of the distinct shingles tell which pairs may
     have it (five standard errors allowed: in texts of few shingles the bits differ
@@ -286,8 +286,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, wor
     links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
     parts = components(verified(own, nodes, components(links), size, similarity))
     of = rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    low = of.groupBy("part").agg(F.min("id").alias("component_id"))
-    return of.join(low, "part").select("id", "fp", "component_id")
+    low = of.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("first"))
+    return of.join(low, "part").select("id", "doc", "fp", F.col("first.id").alias("component_id"), (F.col("doc") == F.col("first.doc")).alias("kept"))
 
 
 def linked(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,11 +295,10 @@ def linked(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_i
     return classes(saved(fingerprints(docs, size, 1, id_col, text_col)), radius)
 
 
-
-
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near_duplicates: the one with the smallest id (of rows that share that id, any one)."""
+    """docs with one row of each class of near_duplicates: the one with the smallest id, null ids last. Rows are told apart by id and text, so that unlike texts of one id, or of none, stay; of rows equal in both, any one."""
     found = near_duplicates(docs, size, similarity, words, id_col, text_col)
-    kept = saved(found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
-    out = docs.join(kept.select("_kept").hint("shuffle_hash"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates([id_col]) if kept.where("_n > 1").limit(1).count() else out
+    kept = saved(found.where("kept").groupBy(F.col("doc").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
+    keyed = docs.withColumn("_doc", doc_key(docs, id_col, text_col))
+    out = keyed.join(kept.select("_kept").hint("shuffle_hash"), F.col("_doc") == F.col("_kept"), "left_semi")
+    return (out.dropDuplicates(["_doc"]) if kept.where("_n > 1").limit(1).count() else out).drop("_doc")
