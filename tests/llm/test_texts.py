@@ -3,14 +3,16 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
 from weftline.llm import bpe, decontaminate, language, secrets, token_count
-from weftline.llm.queries import span_digest
+from weftline.llm.queries import op1_language_id, span_digest
 
 
 def code_length(sample, text, order):
@@ -66,6 +68,18 @@ def test_language_accuracy_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages of one word each, none left out; equal code lengths go to the first by name."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 40, f"l{i:02}") for i in range(70)]
+    docs = spark.createDataFrame([*rows, (70, "zq" * 40, "tie b"), (71, "zq" * 40, "tie a"), *rows[:3]], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.langs) == 72
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert got == {**{i: x for i, _, x in rows}, 70: "tie a", 71: "tie a"}
+    small = language.train(docs, model_bytes=72 * 10)
+    assert small.langs == model.langs
+
+
 def test_language_of_odd_rows(docs, none):
     model = language.train(docs)
     got = {r.doc_id: r for r in language.predict(docs, model).collect()}
@@ -80,6 +94,29 @@ def test_language_of_odd_rows(docs, none):
     assert language.known_language(docs, None).count() == 0
 
 
+def test_language_query_equals_a_plain_model(spark, docs, rows, tmp_path, monkeypatch):
+    """The registered query: split by crc32, prediction by code lengths written plainly, score by their gap."""
+    small = [(r[0], (r[1] or "")[:90] if r[1] else r[1], r[2]) for r in rows if r[0] % 4 == 0 or r[0] >= 100]
+    df = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in small], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op1_language_id(spark, str(tmp_path)).collect()}
+    held = {i for i, _, _ in small if zlib.crc32(str(i).encode()) % 4 == 2}
+    samples = defaultdict(set)
+    for i, t, lang in small:
+        if i not in held and t and lang:
+            samples[lang].add((i, t.encode()))
+    for i, t, _ in small:
+        assert got[i].held_out == (i in held)
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        bits = {k: code_length([x for _, x in v], t.encode(), 4) for k, v in samples.items()}
+        best = min(bits.values())
+        assert bits[got[i].lang_pred] == pytest.approx(best, abs=1e-2)
+        p = [2 ** -((b - best) / math.sqrt(len(t.encode()))) for b in bits.values()]
+        assert got[i].score == pytest.approx(1 / sum(p), rel=1e-3) and 0 <= got[i].score <= 1
+
+
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -103,6 +140,13 @@ def test_more_rules():
     assert [secrets.RULES[k].kind for _, k, _ in scanner.spans(text)] == ["private_key", "forge_token", "chat_token", "web_token"]
 
 
+def test_a_long_run_is_one_entry():
+    scanner = secrets.Scanner()
+    text = b"x " + b"0123456789abcdef" * 20000 + b" y"
+    tops, _ = scanner.hits(text)
+    assert len(tops) < 10 and scanner.spans(text) == [(2, 2, 2 + 320000)]
+
+
 def test_secret_columns(docs, rows, none):
     got = {r.doc_id: r for r in span_digest(secrets.scan(docs)).collect()}
     assert len(got) == len(rows)
@@ -178,20 +222,27 @@ def test_leaks_equal_brute_force(spark, docs, rows, none):
                 cut[rng.randrange(len(cut))] = rng.choice("abc ")
             items.append((i, "".join(cut).upper()))
     items += [(900, None), (901, ""), (902, "short"), (903, "never seen anywhere at all in any of these texts"), (904, items[0][1]), (904, items[0][1] + "!")]
-    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    items += [(905, "2 + 2 = ?"), (906, "Secret"), (907, "ab")]
+    docs = docs.unionByName(spark.createDataFrame([(300, "what is 2  +  2 = ? (secretly) ab-c"), (301, "cab abc secrets")], "doc_id long, text string"), allowMissingColumns=True)
+    rows = [*rows, (300, "what is 2  +  2 = ? (secretly) ab-c", None), (301, "cab abc secrets", None)]
+    bench = spark.createDataFrame([(Decimal(i), t, 1) for i, t in items], "item_id decimal(20,0), text string, doc_id int")
     for blocks in (1 << 20, 50):
         got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(docs, bench, block_bytes=blocks).collect()}
         want = {}
         for i, t, _ in rows:
-            if i == 109:
-                continue
             text = decontaminate.normal(t or "")
             for k, item in items:
                 n = decontaminate.normal(item or "")
-                if len(n) >= decontaminate.SHORTEST and (d := edit_distance_in(n, text)) <= decontaminate.budget(len(n), 0.08):
+                if 0 < len(n) < decontaminate.SHORTEST:
+                    if re.search(r"(?<![^\W_])" * n[0].isalnum() + re.escape(n) + r"(?![^\W_])" * n[-1].isalnum(), text):
+                        want[i, k] = 0
+                    continue
+                # The recurrence itself is held against the plain table above; here it takes the long text.
+                d = len(n) or 99 if not n else (decontaminate.Pattern(n).nearest(text)[0] if len(text) > 2000 else edit_distance_in(n, text))
+                if d <= decontaminate.budget(len(n), 0.08):
                     want[i, k] = min(d, want.get((i, k), 99))
-        assert {k: v for k, v in got.items() if k[0] != 109} == want
-        assert len(want) > 8
+        assert got == want
+        assert len(want) > 8 and (300, 905) in want and (300, 906) not in want and (300, 907) in want and (301, 907) not in want
     kept = {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()}
     assert kept == {i for i, _, _ in rows} - {i for i, _ in got}
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0

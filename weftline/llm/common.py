@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -41,11 +42,13 @@ def latest(kind: str, name, build):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that all machines share, named in spark.checkpoint.dir. Where that is unset, a local master gets a folder of this process's own; a cluster gets an error, as machines don't see each other's disks."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
     if not path:
-        path = sc._conf.get("spark.checkpoint.dir") or "/tmp/weftline-checkpoints"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        path = cached("checkpoints", lambda: tempfile.mkdtemp(prefix="weftline-checkpoints-"))
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path

@@ -8,10 +8,13 @@ bit-parallel recurrence gives the least edit distance of the item to any part of
 the text; hits of one item that overlap are verified together.
 
 Texts and items are compared lower-cased and with runs of white space as one
-space. Items shorter than `shortest` characters after that are too common to tell
-a leak and match nothing; so do null items and documents. Items with equal ids
-count as one, by their nearest match. The items are the query set: they are taken
-in blocks of bounded bytes, each broadcast and held against all documents.
+space. Items shorter than `shortest` characters after that have a budget of 0 and
+match where they stand between word boundaries only (no letter or digit goes on at
+either end). Null and empty items, and null documents, match nothing. Items with
+equal ids (of any type) count as one, by their nearest match; of equally near
+parts of a text the first counts. Equal rows of documents give one row of the
+result. Other columns are ignored. The items are the query set: they are taken in
+blocks of bounded bytes, each broadcast and held against all documents.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import latest, mapped, texts
 
 #: Bytes of normalised items in a broadcast block.
 BLOCK_BYTES = 4 << 20
-#: Characters below which an item is left out.
+#: Characters below which an item must occur unchanged, as whole words.
 SHORTEST = 25
 
 
@@ -36,8 +40,8 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(length: int, share: float) -> int:
-    return int(length * share)
+def budget(length: int, share: float, shortest: int = SHORTEST) -> int:
+    return int(length * share) if length >= shortest else 0
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -82,10 +86,11 @@ class Pattern:
 class Block:
     """Items of one block, their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[object, str]], share: float, shortest: int = SHORTEST):
         import ahocorasick
 
-        self.items, self.errors = items, [budget(len(t), share) for _, t in items]
+        self.items, self.errors = items, [budget(len(t), share, shortest) for _, t in items]
+        self.whole = [len(t) < shortest for _, t in items]
         places = defaultdict(list)
         for k, (_, t) in enumerate(items):
             for offset, piece in pieces(t, self.errors[k]):
@@ -116,6 +121,10 @@ class Block:
         return found
 
     def verify(self, k: int, item: str, errors: int, text: str, low: int, high: int):
+        if self.whole[k]:
+            # An item of one piece: its hits are the places where it occurs.
+            at = next((x for x in range(max(low, 0), high + 1) if text.startswith(item, x) and stands_alone(text, x, x + len(item))), None)
+            return None if at is None else (0, at, at + len(item))
         if low == high and low >= 0 and text.startswith(item, low):
             return (0, low, low + len(item))
         if k not in self.patterns:
@@ -131,6 +140,12 @@ class Block:
         return (d, at + end - length, at + end)
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of text[start:end]."""
+    joined = lambda k: 0 < k < len(text) and text[k - 1].isalnum() and text[k].isalnum()
+    return not joined(start) and not joined(end)
+
+
 def runs(numbers: list[int], gap: int) -> Iterator[tuple[int, int]]:
     """(first, last) of runs of sorted numbers that are at most gap apart."""
     first = last = numbers[0]
@@ -142,11 +157,11 @@ def runs(numbers: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield first, last
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, shortest: int, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for item_id, text in items.select(items[id_col], items[text_col]).where(F.col(text_col).isNotNull()).toLocalIterator():
         t = normal(text)
-        if len(t) < shortest:
+        if not t:
             continue
         block.append((item_id, t))
         size += len(t.encode())
@@ -161,14 +176,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: s
     """id, item_id, distance, start, end (in the normalised text) of each document and test item that occurs in it, one row for each two ids."""
     sc = docs.sparkSession.sparkContext
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     schema = f"id {kind}, item_id {item_kind}, distance int, start long, end long"
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     out = None
-    for block in item_blocks(items, item_id, item_text, shortest, block_bytes):
+    for block in item_blocks(items, item_id, item_text, block_bytes):
         shared, name = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name):
-            b = latest("leaks", name, lambda: Block(shared.value, share))
+            b = latest("leaks", name, lambda: Block(shared.value, share, shortest))
             for batch in batches:
                 rows = {}
                 for doc, t in zip(batch.column("id"), texts(batch), strict=True):
@@ -181,7 +197,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: s
                         rows[len(rows)] = (doc.as_py(), item, *got)
                 columns = list(zip(*rows.values(), strict=True)) or [()] * 5
                 kinds = (batch.schema.field("id").type, None, pa.int32(), pa.int64(), pa.int64())
-                item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or item_type) for c, k in zip(columns, kinds, strict=True)], ["id", "item_id", "distance", "start", "end"])
 
         part = own.transform(mapped, run, schema)
@@ -195,11 +210,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, id_col: s
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.08, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no test item occurs, with all columns."""
     sc, at, out = docs.sparkSession.sparkContext, docs.columns.index(text_col), docs
-    for block in item_blocks(items, item_id, item_text, shortest, block_bytes):
+    for block in item_blocks(items, item_id, item_text, block_bytes):
         shared, name = sc.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name):
-            b = latest("leaks", name, lambda: Block(shared.value, share))
+            b = latest("leaks", name, lambda: Block(shared.value, share, shortest))
             for batch in batches:
                 keep = [not (t and b.matches(normal(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))

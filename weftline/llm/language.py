@@ -13,11 +13,14 @@ Contexts never span texts. As a longer context's bytes are a subset of those of
 its suffix, exclusion needs one number per context (what is left of the suffix's
 total), so texts are scored by array lookups of all their positions at once.
 
-Training takes at most `per_language` labelled documents (those whose hashed ids
-are smallest) and `train_bytes` bytes of each language: that bounds the model,
-which is broadcast. Nulls and texts without a letter are `und` with score 0.
-Rows without a label, and labels beyond the first `MOST_LANGUAGES` by name, are
-not learned from. With no labelled row every text is `und`.
+Every language of the labels is learned. Training takes at most `per_language`
+labelled documents of each (those whose hashed ids are smallest) and `train_bytes`
+bytes; with many languages the bytes of each shrink so that all together stay
+within `model_bytes`, which bounds the model that is broadcast. Nulls and texts
+without a letter are `und` with score 0. Of languages with equal code lengths the
+first by name wins. Repeated rows are predicted one by one, and in training count
+once. Rows without a label are not learned from; with no labelled row every text
+is `und`. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, pieces_of, text_bytes
 
 UNKNOWN = "und"
-MOST_LANGUAGES = 64
 LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time.
 BLOCK = 1 << 18
@@ -219,27 +221,31 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, per_language: int = 400, train_bytes: int = 1_000_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, per_language: int = 400, train_bytes: int = 1_000_000, model_bytes: int = 32_000_000) -> Model | None:
     """The model of a bounded sample of the labelled rows of docs: of each language the rows with the smallest hashed ids, whole texts, up to the bounds."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect())
     keyed = rows.withColumn("key", F.xxhash64("id", "text"))
+    # Keys and lengths only, cut to each language's first before the shuffle: which texts are fetched is settled before any text moves.
+    first = Window.partitionBy("lang").orderBy("key", "n")
+    ranked = keyed.select("lang", "key", F.octet_length("text").alias("n")).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    listed = sorted(ranked.select("lang", "key", "n").collect())
+    share = min(train_bytes, model_bytes // max(1, len({r["lang"] for r in listed})))
     chosen: list[tuple[int, str]] = []
-    for lang in langs:
-        # Keys and lengths only: which texts are fetched is settled before any text moves.
-        size = 0
-        for r in keyed.where(F.col("lang") == lang).select("key", F.octet_length("text").alias("n")).orderBy("key", "n").limit(per_language).collect():
-            if not size or size + r["n"] <= train_bytes:
-                size += r["n"]
-                chosen.append((r["key"], lang))
+    size: dict[str, int] = {}
+    for r in listed:
+        have = size.get(r["lang"], 0)
+        if not have or have + r["n"] <= share:
+            size[r["lang"]] = have + r["n"]
+            chosen.append((r["key"], r["lang"]))
     if not chosen:
         return None
-    picked = keyed.where(F.col("key").isin(sorted({k for k, _ in chosen}))).dropDuplicates(["key", "lang"])
+    spark = docs.sparkSession
+    wanted_rows = F.broadcast(spark.createDataFrame(chosen, "key long, lang string"))
+    picked = keyed.join(wanted_rows, ["key", "lang"], "left_semi").dropDuplicates(["key", "lang"])
     samples: dict[str, list[bytes]] = {}
-    wanted = set(chosen)
     for r in sorted(picked.select("key", "lang", "text").collect(), key=lambda r: r["key"]):
-        if (r["key"], r["lang"]) in wanted:
-            samples.setdefault(r["lang"], []).append(r["text"].encode())
+        # A single text longer than the share counts by its first bytes.
+        samples.setdefault(r["lang"], []).append(r["text"].encode()[:share])
     samples = {k: v for k, v in samples.items() if any(v)}
     return Model(samples, order) if samples else None
 

@@ -22,6 +22,7 @@ to its own size only.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -264,28 +265,38 @@ class Scanner:
         self.starts = compiled(rules, [mirrored(t) for t in trees], True)
         self.ends = [compiled([r], [t], False) for r, t in zip(rules, trees, strict=True)]
 
-    def hits(self, data: bytes) -> list[tuple[int, int]]:
-        """(position, rule bits) of each byte at which a rule has a match that starts there, from the last to the first."""
+    def hits(self, data: bytes) -> tuple[array, array]:
+        """Where runs of bytes begin, from the last to the first, at each of which the same rules have a match that starts there; and the bits of those rules, 0 for none. A run of any length is one entry."""
         a = self.starts
-        rows, s, first, out, n = a.rows, a.start, a.first, [], len(data) - 1
+        rows, s, first, marks = a.rows, a.start, a.first, a.marks
+        at, bits, last, n = array("q"), array("q"), 0, len(data) - 1
         for k, c in enumerate(data[::-1].translate(a.classes)):
             s = rows[s][c]
-            if s >= first:
-                out.append((n - k, a.marks[s]))
-        return out
+            now = marks[s] if s >= first else 0
+            if now != last:
+                at.append(n - k)
+                bits.append(now)
+                last = now
+        return at, bits
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start and rule."""
         found, behind = [], [0] * len(self.rules)
-        for at, bits in reversed(self.hits(data)):
-            k = 0
+        tops, rules = self.hits(data)
+        low = 0
+        # Run i holds its first byte and those below it, down to the next run's.
+        for i in range(len(tops) - 1, -1, -1):
+            low, high = (tops[i + 1] + 1 if i + 1 < len(tops) else 0), tops[i]
+            bits, k = rules[i], 0
             while bits:
-                if bits & 1 and at >= behind[k]:
-                    end = self.longest(k, data, at)
-                    behind[k] = end
-                    rule = self.rules[k]
-                    if (self.value(data, at, end) if rule.value else end - at) >= rule.least:
-                        found.append((at, k, end))
+                if bits & 1:
+                    at = max(low, behind[k])
+                    while at <= high:
+                        end = self.longest(k, data, at)
+                        rule = self.rules[k]
+                        if (self.value(data, at, end) if rule.value else end - at) >= rule.least:
+                            found.append((at, k, end))
+                        behind[k] = at = max(end, at + 1)
                 bits >>= 1
                 k += 1
         found.sort()
