@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,39 +254,52 @@ def test_estimates_are_unbiased_and_bounded():
     assert (np.abs(est - true) <= bound)[off].mean() > 0.999
 
 
-@pytest.mark.parametrize("size", [1 << 24, 2000])
-def test_scores_equal_brute_force(docs, rows, size, none):
-    got = {r.doc_id: r for r in ngram_lm.score(docs, crc_mod("doc_id", 10) != 0, chunk_bytes=size, bucket_bytes=size).collect()}
+@pytest.mark.parametrize("order", [3, 2, 4])
+@pytest.mark.parametrize("size", [1 << 24, 900])
+def test_scores_equal_brute_force(docs, rows, size, order, none):
+    """Backoff over n-grams, written plainly. Small sizes deal frequent histories over several buckets."""
+    small = {"chunk_bytes": size * 5, "bucket_tokens": size, "split": min(size, 60)}
+    docs = docs.unionByName(docs.where("doc_id = 65"))
+    twice = [*rows, next(r for r in rows if r[0] == 65)]
+    found = ngram_lm.score(docs, crc_mod("doc_id", 10) != 0, order=order, **small).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(twice)
     import zlib
 
-    tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t, _ in rows}
-    learned = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(x for i in learned for x in tokens[i])
+    tokens = [(i, [*WORD.findall((t or "").translate(LOWER)), None]) for i, t, _ in twice]
+    learned = [ts for i, ts in tokens if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(x for ts in learned for x in ts)
     total, kinds = sum(c.values()), len(c)
-    pairs, history = Counter(), Counter()
-    for i in learned:
-        for h, x in zip([0, *tokens[i]], tokens[i], strict=False):
-            pairs[h, x] += 1
-            history[h] += 1
-    left = defaultdict(lambda: 1.0)
-    for (h, _), k in pairs.items():
-        if k >= 2:
-            left[h] -= (k - 0.75) / history[h]
-    root = lambda x: (c[x] + 0.1) / (total + 0.1 * (kinds + 1))
-    for i, ts in tokens.items():
+    count = Counter()
+    for ts in learned:
+        full = [0, *ts]
+        for n in range(2, order + 1):
+            count.update(tuple(full[k : k + n]) for k in range(len(full) - n + 1))
+    behind, follow = Counter(), Counter()
+    for g, k in count.items():
+        behind[g[:-1]] += k
+        follow[g[:-1]] += 1
+
+    def p(history, x):
+        if not history:
+            return (c[x] + 0.1) / (total + 0.1 * (kinds + 1))
+        if not behind[history]:
+            return p(history[1:], x)
+        return max(count[(*history, x)] - 0.75, 0) / behind[history] + 0.75 * follow[history] / behind[history] * p(history[1:], x)
+
+    for i, ts in tokens:
         r = got[i]
-        assert (r.learned, r.n_tokens, r.n_known, r.train_tokens) == (i in learned, len(ts), sum(c[x] > 0 for x in ts), total)
-        assert r.base_score == pytest.approx(sum(math.log10(root(x)) for x in ts))
-        arcs = [((pairs[h, x] - 0.75) / history[h] if pairs[h, x] >= 2 else 0) + left[h] * root(x) for h, x in zip([0, *ts], ts, strict=False)]
-        assert r.score == pytest.approx(sum(map(math.log10, arcs)), rel=1e-4)
-    # The arcs of a state add up to one, the unknown's share included.
-    state = max(history, key=history.get)
-    mass = sum(((pairs[state, x] - 0.75) / history[state] if pairs[state, x] >= 2 else 0) + left[state] * root(x) for x in c)
-    assert mass + left[state] * 0.1 / (total + 0.1 * (kinds + 1)) == pytest.approx(1)
-    if size == 2000:
+        assert (r.learned, r.n_tokens, r.n_known, r.train_tokens) == (bool(zlib.crc32(str(i).encode()) % 10), len(ts), sum(c[x] > 0 for x in ts), total)
+        assert r.base_score == pytest.approx(sum(math.log10(p((), x)) for x in ts))
+        full = [0, *ts]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(full[max(0, k - order + 1) : k]), full[k])) for k in range(1, len(full))))
+    # What a state reaches adds up to one, the unknown's share included.
+    state = max((h for h in behind if len(h) == order - 1), key=behind.get)
+    assert sum(p(state, x) for x in c) + p(state, "never seen") == pytest.approx(1)
+    if size == 900 and order == 3:
         assert ngram_lm.score(none, crc_mod("doc_id", 10) != 0).count() == 0
         alone = ngram_lm.score(docs.where("doc_id = 3"), crc_mod("doc_id", 10) > 100).first()
-        assert alone.n_known == 0 and alone.train_tokens == 0
+        assert alone.n_known == 0 and alone.train_tokens == 0 and alone.score == pytest.approx(alone.base_score)
 
 
 def test_blocks_meet_once(spark):

@@ -1,25 +1,36 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton over smoothed n-grams.
 
 Tokens are lower-cased words and one end for each text. States are the root and
-one for each history (a word, or the begin of a text). A state has an arc for each
-bigram seen at least `least` times in training, weighted with its discounted
-probability interpolated with the root's, and a failure arc to the root, weighted
-with the mass that the kept bigrams leave (absolute discounting: what they do not
-use). The root has an arc for each token: (c + a) / (N + a (V + 1)), where one share
-is for all unknown tokens; so each state's arcs sum to 1. A text is read once from
-left to right: the state carried along takes its arc, or fails to the root and
-takes the root's, and the log10 weights add up.
-
-Counts cover all training rows and grow with them, so the automaton is never
-broadcast. Texts are dealt into chunks of bounded bytes by a hash of the row. A
-chunk sends the counts of its distinct bigrams, packed, to the buckets of their
-histories; a bucket adds up all chunks and answers each chunk with the weights of
-the states and arcs that it asked for, in the order it asked. A frequent word
-costs a chunk one entry for each distinct follower, however often it occurs.
-
-Words are told apart by 64-bit hashes. Null texts have the end only. Rows with
-equal ids are scored one by one; other columns are ignored. Without training rows
-every count is 0.
+one for each history of 1 to order - 1 tokens that training has (a text's begin
+counts as a token there). A state has an arc for each token seen behind its
+history, weighted with its absolutely discounted probability interpolated with the
+shorter history's, and a failure arc to the state of the shorter history, weighted
+with the mass that discounting frees. The root has an arc for each token,
+(c + a) / (N + a (V + 1)), where one share is for all unknown tokens; so what each
+state can reach sums to 1. A text is read once from left to right: the state
+carried along takes its arc, or follows failure arcs to the first state that has
+one; log10 weights add up, and the arc leads to the state of the longest history.
+
+Counts cover all training rows, singletons too, and grow with them, so the
+automaton is never broadcast. Texts are packed into chunks of bounded bytes as
+the tasks of the scan meet them (equal rows do not gather), written once. Then for
+each order a chunk sends the counts of its distinct n-grams to the buckets of
+their histories; a bucket adds up all chunks and answers each with what it asked
+for, in the order it asked. A chunk and a bucket exchange a row only where they
+have an n-gram in common, so rows never outnumber the chunks' n-grams.
+
+A frequent history would make a bucket too large. Orders are counted one after the
+other, so a history's own count is known before what follows it is asked for: one
+that occurs more than `split` times is dealt over several buckets by what follows
+it, and its number of followers is added up over them. There are at most
+(tokens / split) such histories, and `split` grows so that they stay under a
+million: that bounds the table which is broadcast.
+
+Words are told apart by 64-bit hashes, histories by a 64-bit mix of them, n-grams
+by history and last word (128 bits). Null texts have the end only. Rows with equal
+ids, and equal rows, are scored one by one. A single text longer than a chunk is a
+chunk of its own. Other columns are ignored. Without training rows every count is
+0 and every text takes root arcs only.
 """
 
 from __future__ import annotations
@@ -27,59 +38,33 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD_BYTES, saved, texts
+from .common import WORD_BYTES, dropped, mapped, saved, text_bytes
 
-#: Text bytes of a chunk and of what a bucket serves.
-CHUNK, BUCKET = 12 << 20, 12 << 20
-BEGIN, END = np.uint64(1), np.uint64(2)
+#: Text bytes of a chunk, and tokens that a bucket serves.
+CHUNK, BUCKET = 6 << 20, 1 << 20
+BEGIN, END = 1, 2
+#: Split histories that are broadcast at most.
+MOST_SPLIT = 1 << 20
 
+#: A chunk; its tokens are numbers of its words. What a chunk asks of a bucket.
+CHUNK_ROW = "chunk long, ids array<{kind}>, learned array<boolean>, sizes array<int>, words binary, tokens binary, n long"
+CELL = "chunk long, bucket int, payload binary"
 
-def word_hashes(text: str) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) for w in WORD_BYTES.findall(text.encode().lower())]
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-class Chunk:
-    """Token and history of each position of a chunk's texts, and the distinct ones in order."""
-
-    def __init__(self, batch_texts: list[str], train: np.ndarray):
-        rows = [np.array(word_hashes(t), np.uint64) for t in batch_texts]
-        self.sizes = np.array([len(r) + 1 for r in rows], np.int64)
-        ends = np.cumsum(self.sizes)
-        n = int(ends[-1]) if len(ends) else 0
-        token = np.empty(n, np.uint64)
-        last = np.zeros(n, bool)
-        last[ends - 1] = True
-        token[last] = END
-        token[~last] = np.concatenate(rows) if rows else []
-        del rows
-        history = np.empty(n, np.uint64)
-        history[1:] = token[:-1]
-        history[ends - self.sizes] = BEGIN
-        self.starts = ends - self.sizes
-        order = np.lexsort((token, history))
-        h, w = history[order], token[order]
-        new_h = np.append(True, h[1:] != h[:-1]) if n else np.zeros(0, bool)
-        new_p = new_h | np.append(True, w[1:] != w[:-1]) if n else new_h
-        learned = np.repeat(train, self.sizes)[order].astype(np.int64)
-        at_h, at_p = np.flatnonzero(new_h), np.flatnonzero(new_p)
-        self.h, self.w = h[at_h], w[at_p]
-        self.h_count = np.add.reduceat(learned, at_h) if n else learned
-        self.p_count = np.add.reduceat(learned, at_p) if n else learned
-        self.followers = np.diff(np.append(np.flatnonzero(new_h[at_p]), len(at_p)))
-        self.h_of = np.empty(n, np.int64)
-        self.p_of = np.empty(n, np.int64)
-        self.h_of[order] = np.cumsum(new_h) - 1
-        self.p_of[order] = np.cumsum(new_p) - 1
-        self.last = last
-
-    def cuts(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of each bucket among histories and bigrams: buckets are ranges of hashes."""
-        bucket = ((self.h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        h = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-        return h, np.append(0, np.cumsum(self.followers))[h]
+
+def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The 64-bit name of a history with one more word behind it."""
+    return mix(history * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -95,94 +80,315 @@ def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-ASK = ["<u8", "<u4", "<u4", "<u8", "<u4"]  # histories, their counts, numbers of followers, followers, counts of bigrams
-ANSWER = ["<u8", "<f4", "<f4"]  # counts of histories, their failure weights, arcs' discounted probabilities
+def chunk_rows(batches, size: int, ids_type: pa.DataType):
+    """Rows of packed texts: their distinct words' hashes, and each token as a word's number."""
+    task, number = TaskContext.get().partitionId(), 0
+    ids, learned, sizes, tokens, numbers, held = [], [], [], [], {}, 0
+
+    def row():
+        words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        n = sum(sizes)
+        columns = [pa.array([(task << 32) + number]), pa.array([ids], pa.list_(ids_type)), pa.array([learned], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32()))]
+        packed = [pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([np.array(tokens, "<u4").tobytes()], pa.binary()), pa.array([n], pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *packed], ["chunk", "ids", "learned", "sizes", "words", "tokens", "n"])
+
+    for b in batches:
+        data, offs = text_bytes(b)
+        raw = data.tobytes()
+        for i, (doc, learn) in enumerate(zip(b.column("id").to_pylist(), b.column("learned").to_pylist(), strict=True)):
+            found = WORD_BYTES.findall(raw[offs[i] : offs[i + 1]].lower())
+            if ids and held + offs[i + 1] - offs[i] > size:
+                yield row()
+                ids, learned, sizes, tokens, numbers, held, number = [], [], [], [], {}, 0, number + 1
+            tokens += [numbers.setdefault(w, len(numbers)) for w in found]
+            ids.append(doc)
+            learned.append(learn)
+            sizes.append(len(found) + 1)
+            held += int(offs[i + 1] - offs[i])
+    if ids:
+        yield row()
+
+
+class Chunk:
+    """The positions of a chunk's texts, their words, and their n-grams of each order."""
+
+    def __init__(self, row: pa.Table, order: int):
+        value = {c: row.column(c)[0] for c in row.column_names}
+        self.number = value["chunk"].as_py()
+        self.sizes = value["sizes"].values.to_numpy().astype(np.int64)
+        learned = value["learned"].values.to_numpy(zero_copy_only=False)
+        n = int(self.sizes.sum())
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.words = np.concatenate([np.frombuffer(value["words"].as_buffer(), "<u8"), np.array([END, BEGIN], np.uint64)])
+        end = len(self.words) - 2
+        self.token = np.full(n, end, np.int64)
+        inside = np.ones(n, bool)
+        inside[self.ends - 1] = False
+        self.token[inside] = np.frombuffer(value["tokens"].as_buffer(), "<u4")
+        train = np.repeat(learned, self.sizes)
+        # Order 1: the words themselves. grams[k]: each position's n-gram (-1: its history goes beyond the text).
+        self.grams: list[np.ndarray] = [self.token]
+        self.names = [self.words]
+        self.histories: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
+        self.last = [np.arange(len(self.words))]
+        self.trained = [np.bincount(self.token[train], minlength=len(self.words))]
+        self.trained[0][-1] = int(learned.sum())
+        self.occur = [np.bincount(self.token, minlength=len(self.words))]
+        self.occur[0][-1] = len(self.sizes)
+        width = len(self.words)
+        # What stands before each position: the shorter n-gram that ends there.
+        before = np.empty(n, np.int64)
+        before[1:] = self.token[:-1]
+        before[self.starts] = width - 1
+        for k in range(2, order + 1):
+            ok = before >= 0
+            key = before[ok] * width + self.token[ok]
+            kinds, at = np.unique(key, return_inverse=True)
+            gram = np.full(n, -1, np.int64)
+            gram[ok] = at
+            history, last = kinds // width, kinds % width
+            self.grams.append(gram)
+            self.histories.append(history)
+            self.last.append(last)
+            self.names.append(joined(self.names[-1][history], self.words[last]))
+            self.trained.append(np.bincount(at, train[ok], len(kinds)).astype(np.int64))
+            self.occur.append(np.bincount(at, minlength=len(kinds)))
+            before = np.full(n, -1, np.int64)
+            before[1:] = gram[:-1]
+            before[self.starts] = -1
+
+
+def parts_of(load: np.ndarray, buckets: int, split: int) -> np.ndarray:
+    """Over how many buckets histories of some loads (how often they occur at all) are dealt."""
+    return np.clip(-(-load // split), 1, buckets)
+
+
+def arranged(chunk: Chunk, k: int, load: np.ndarray, buckets: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk asks for its n-grams of k + 1 tokens, and the bounds of each bucket in it. load: of each history; words have none."""
+    name, word = (chunk.names[k - 1][chunk.histories[k]], chunk.words[chunk.last[k]]) if k else (chunk.words, chunk.words)
+    parts = parts_of(load, buckets, split)[chunk.histories[k]].astype(np.uint64) if k else np.uint64(1)
+    base = ((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = (base + mix(word) % parts) % np.uint64(buckets)
+    # N-grams come sorted by history, and stay so within a bucket.
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+
+
+def runs_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+ASK = ["<u8", "<u4", "<u4", "<u8", "<u4", "<u4"]  # histories, numbers of buckets they are dealt over, numbers of followers; followers, counts in training, counts in all
+ANSWER = ["<u8", "<u8", "<u4"]  # of each n-gram its counts in training and in all; of each history its kinds of followers in training, in this bucket
+
+
+def asks(chunk: Chunk, k: int, load: np.ndarray, buckets: int, split: int) -> pa.Table:
+    order, cuts = arranged(chunk, k, load, buckets, split)
+    names = chunk.names[k - 1] if k else np.zeros(1, np.uint64)
+    parts = parts_of(load, buckets, split) if k else np.ones(1, np.int64)
+    where, payload = np.flatnonzero(np.diff(cuts)), []
+    for b in where:
+        at = order[cuts[b] : cuts[b + 1]]
+        own = chunk.histories[k][at]
+        new = runs_of(own)
+        h, followers = own[new], np.diff(np.append(new, len(own)))
+        payload.append(pack(names[h], parts[h].astype("<u4"), followers.astype("<u4"), chunk.words[chunk.last[k][at]], chunk.trained[k][at].astype("<u4"), chunk.occur[k][at].astype("<u4")))
+    return pa.table({"chunk": pa.array([chunk.number] * len(where), pa.int64()), "bucket": pa.array(where, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
 
+ANSWERS = "k int, chunk long, bucket int, payload binary, name long, followers long, tokens long, kinds long, texts long"
 
-def add_up(table: pa.Table, discount: float, least: int) -> pa.Table:
-    """One bucket's answers to all chunks, and under chunk -1 its (tokens, kinds, texts)."""
+
+def add_up(table: pa.Table, k: int) -> pa.Table:
+    """One bucket's answers to all chunks. Besides, for words a row of its tokens, their kinds and texts in training; for longer n-grams a row of each history dealt over several buckets, with its followers in this one."""
     asked = [unpack(x, ASK) for x in table.column("payload").to_pylist()]
     h_sizes, p_sizes = [len(a[0]) for a in asked], [len(a[3]) for a in asked]
-    h = np.concatenate([a[0] for a in asked])
-    kinds, h_of = np.unique(h, return_inverse=True)
-    h_count = np.zeros(len(kinds), np.int64)
-    np.add.at(h_count, h_of, np.concatenate([a[1] for a in asked]).astype(np.int64))
-    p_h = np.repeat(h_of, np.concatenate([a[2] for a in asked]))
-    p_w = np.concatenate([a[3] for a in asked])
+    names, first, h_of = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
+    parts = np.concatenate([a[1] for a in asked])[first]
+    p_h, p_w = np.repeat(h_of, np.concatenate([a[2] for a in asked])), np.concatenate([a[3] for a in asked])
     order = np.lexsort((p_w, p_h))
     new = np.append(True, (p_h[order][1:] != p_h[order][:-1]) | (p_w[order][1:] != p_w[order][:-1]))
     at = np.flatnonzero(new)
-    count = np.add.reduceat(np.concatenate([a[4] for a in asked]).astype(np.int64)[order], at)
-    owner = p_h[order][at]
-    arc = np.where(count >= least, (count - discount) / np.maximum(h_count[owner], 1), 0.0)
-    left = 1 - np.bincount(owner, arc, len(kinds))
+    trained, occur = (np.add.reduceat(np.concatenate([a[i] for a in asked]).astype(np.int64)[order], at) for i in (4, 5))
+    followers = np.bincount(p_h[order][at], trained > 0, len(names)).astype(np.int64)
     p_of = np.empty(len(p_w), np.int64)
     p_of[order] = np.cumsum(new) - 1
-    rows = {"chunk": [], "bucket": [], "payload": []}
     bucket = table.column("bucket")[0].as_py()
+    rows: dict[str, list] = {c: [] for c in ("chunk", "payload", "name", "followers", "tokens", "kinds", "texts")}
+
+    def add(**values):
+        for c in rows:
+            rows[c].append(values.get(c))
+
     i = j = 0
     for chunk, m, n in zip(table.column("chunk").to_pylist(), h_sizes, p_sizes, strict=True):
-        own, pairs = h_of[i : i + m], p_of[j : j + n]
-        rows["chunk"].append(chunk)
-        rows["payload"].append(pack(h_count[own].astype("<u8"), left[own].astype("<f4"), arc[pairs].astype("<f4")))
+        own = p_of[j : j + n]
+        add(chunk=chunk, payload=pack(trained[own].astype("<u8"), occur[own].astype("<u8"), followers[h_of[i : i + m]].astype("<u4")))
         i, j = i + m, j + n
-    text_count = int(h_count[kinds == BEGIN].sum())
-    words = h_count[kinds != BEGIN]
-    rows["chunk"].append(-1)
-    rows["payload"].append(np.array([int(words.sum()) + text_count, int((words > 0).sum()) + (text_count > 0), text_count], "<i8").tobytes())
-    rows["bucket"] = [bucket] * len(rows["chunk"])
-    return pa.table({"chunk": pa.array(rows["chunk"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), "payload": pa.array(rows["payload"], pa.binary())})
-
-
-def traverse(chunk: Chunk, count: np.ndarray, fail: np.ndarray, arc: np.ndarray, totals: tuple[int, int, int], a: float) -> dict[str, np.ndarray]:
-    """Sums over each text. count, fail: of the chunk's histories; arc: of its bigrams."""
-    tokens, kinds, ends = totals
-    # Every token but the end is some position's history: its count is the next position's.
-    c = np.empty(len(chunk.h_of), np.int64)
-    c[:-1] = count[chunk.h_of[1:]]
-    c[chunk.last] = ends
-    root = (c + a) / (tokens + a * (kinds + 1))
-    at = chunk.starts
-    state = chunk.h_of
-    log = np.log10(arc[chunk.p_of].astype(np.float64) + fail[state].astype(np.float64) * root)
-    sums = lambda x: np.add.reduceat(x, at) if len(at) else x
-    return {"n_tokens": chunk.sizes, "n_known": sums((c > 0).astype(np.int64)), "base_score": sums(np.log10(root)), "score": sums(log)}
-
-
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", a: float = 0.1, discount: float = 0.75, least: int = 2, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
-    """id, learned, n_tokens, n_known, train_tokens, base_score, score of each row; `train` tells the rows to learn from."""
+    if k == 0:
+        begin = p_w[order][at] == BEGIN
+        add(tokens=int(trained[~begin].sum()), kinds=int((trained[~begin] > 0).sum()), texts=int(trained[begin].sum()))
+    for h in np.flatnonzero(parts > 1):
+        add(name=int(names[h].view(np.int64)), followers=int(followers[h]))
+    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}
+    n = len(rows["chunk"])
+    rows |= {"k": [k] * n, "bucket": [bucket] * n}
+    return pa.table({c.split()[0]: pa.array(rows[c.split()[0]], kinds.get(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64())) for c in ANSWERS.split(", ")})
+
+
+class Counts:
+    """What a chunk was answered: of each n-gram of its own its counts in training and in all, of each history its kinds of followers."""
+
+    def __init__(self, chunk: Chunk, answers: pa.Table, orders: int, buckets: int, split: int, spread: list[dict[int, int]]):
+        self.trained, self.load, self.followers = [], [], [None]
+        level, bucket, payload = answers.column("k").to_numpy(), answers.column("bucket").to_numpy(), answers.column("payload").to_pylist()
+        for k in range(orders):
+            rows = np.flatnonzero(level == k)
+            got = [unpack(payload[r], ANSWER) for r in rows[np.argsort(bucket[rows])]]
+            load = self.load[k - 1] if k else None
+            order, cuts = arranged(chunk, k, load, buckets, split)
+            trained, occur = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            if len(order):
+                trained[order], occur[order] = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (0, 1))
+            self.trained.append(trained)
+            self.load.append(occur)
+            if k:
+                followers = np.zeros(len(chunk.names[k - 1]), np.int64)
+                for g, b in zip(got, np.flatnonzero(np.diff(cuts)), strict=True):
+                    own = chunk.histories[k][order[cuts[b] : cuts[b + 1]]]
+                    followers[own[runs_of(own)]] = g[2]
+                for h in np.flatnonzero(load > split):
+                    followers[h] = spread[k].get(int(chunk.names[k - 1][h].view(np.int64)), followers[h])
+                self.followers.append(followers)
+
+
+class Automaton:
+    """A chunk's part of the automaton. States of level j are histories of j tokens; level 0 is the root.
+
+    For each order k (from 0): arc[k], the log10 weight of each n-gram's arc from its
+    history's state (nan: training has no such arc); fail[k], of each history of k
+    tokens, the log10 weight of its failure arc (nan: training has no such state).
+    """
+
+    def __init__(self, chunk: Chunk, counts: Counts, totals: tuple[int, int, int], a: float, discount: float):
+        tokens, kinds, _ = totals
+        p = (counts.trained[0] + a) / (tokens + a * (kinds + 1))
+        self.arc, self.fail = [np.log10(p)], [None]
+        suffix = None
+        for k in range(1, len(counts.trained)):
+            c, history = counts.trained[k], counts.trained[k - 1]
+            free = discount * counts.followers[k] / np.maximum(history, 1)
+            # The n-gram without its first token: its probability is what the failure arc leads to.
+            suffix = np.zeros(len(c), np.int64)
+            here = chunk.grams[k] >= 0
+            suffix[chunk.grams[k][here]] = chunk.grams[k - 1][here]
+            h = chunk.histories[k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(c > 0, (c - discount) / np.maximum(history[h], 1) + free[h] * p[suffix], np.nan)
+                self.arc.append(np.log10(p))
+                self.fail.append(np.where(history > 0, np.log10(free), np.nan))
+
+    def walk(self, chunk: Chunk) -> np.ndarray:
+        """The sum of weights on each text's way through the automaton."""
+        top = len(self.arc) - 1
+        out = np.empty(len(chunk.sizes))
+        nan = np.append(np.nan, 0)[:1]
+        arc = [np.append(w, nan)[g] for w, g in zip(self.arc, chunk.grams, strict=True)]
+        begin = len(chunk.words) - 1
+        fail: list = [None]
+        for k in range(1, top + 1):
+            # The failure weight of the state that is left at a position: its history ends just before.
+            held = np.full(len(chunk.token), begin if k == 1 else -1, np.int64)
+            held[1:] = chunk.grams[k - 1][:-1]
+            held[chunk.starts] = begin if k == 1 else -1
+            fail.append(np.append(self.fail[k], nan)[held])
+        for n, (a, b) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)):
+            arcs, fails = [x[a:b].tolist() for x in arc], [None, *(x[a:b].tolist() for x in fail[1:])]
+            total, level = 0.0, min(1, top)
+            for i in range(b - a):
+                # No such state: the longest history that training has.
+                while level and fails[level][i] != fails[level][i]:
+                    level -= 1
+                w = arcs[level][i]
+                while w != w:
+                    total += fails[level][i]
+                    level -= 1
+                    w = arcs[level][i]
+                total += w
+                level = min(level + 1, top)
+            out[n] = total
+        return out
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", a: float = 0.1, discount: float = 0.75, order: int = 3, chunk_bytes: int = CHUNK, bucket_tokens: int = BUCKET, split: int = BUCKET) -> DataFrame:
+    """id, learned, n_tokens, n_known, train_tokens, base_score, score of each row; `train` tells the rows to learn from. base_score: the root's arcs alone. Most of the work is done when this is called; the result is written to the shared folder."""
+    field, kind = docs.schema[id_col], docs.schema[id_col].dataType.simpleString()
     own = docs.select(docs[id_col].alias("id"), F.coalesce(train, F.lit(False)).alias("learned"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // bucket_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int")).groupBy("chunk")
-
-    def ask(t: pa.Table) -> pa.Table:
-        c = Chunk(texts_of(t), t.column("learned").to_numpy())
-        h, p = c.cuts(buckets)
-        rows = [(k, pack(c.h[x:y], c.h_count[x:y].astype("<u4"), c.followers[x:y].astype("<u4"), c.w[u:v], c.p_count[u:v].astype("<u4"))) for k, (x, y, u, v) in enumerate(zip(h[:-1], h[1:], p[:-1], p[1:], strict=True)) if y > x]
-        n = t.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([n] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-    packed = "chunk int, bucket int, payload binary"
-    asked = dealt.applyInArrow(ask, packed)
-    answers = saved(asked.groupBy("bucket").applyInArrow(lambda t: add_up(t, discount, least), packed))
-    sums = [np.frombuffer(r[0], "<i8") for r in answers.where("chunk = -1").select("payload").collect()]
-    totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0)
+    id_type = to_arrow_type(field.dataType)
+    chunks = saved(own.transform(mapped, lambda it: chunk_rows(it, chunk_bytes, id_type), CHUNK_ROW.format(kind=kind)))
+    every = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets, split = max(1, -(-every // bucket_tokens)), max(split, every // MOST_SPLIT)
+    spread: list[dict[int, int]] = [{}]
+    answers: DataFrame | None = None
+    parts: list[DataFrame] = []
+
+    def answered(left: pa.Table, right: pa.Table, orders: int, shared) -> tuple[Chunk, Counts]:
+        chunk = Chunk(left, min(orders + 1, order))
+        return chunk, Counts(chunk, right, orders, buckets, split, shared.value)
+
+    def asker(k: int, shared):
+        def ask(left: pa.Table, right: pa.Table | None) -> pa.Table:
+            if not left.num_rows:
+                return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+            if not k:
+                chunk, load = Chunk(left, 1), None
+            else:
+                chunk, counts = answered(left, right, k, shared)
+                load = counts.load[k - 1]
+            return asks(chunk, k, load, buckets, split)
+
+        return ask
+
+    def adder(k: int):
+        return lambda t: add_up(t, k)
+
+    shared = None
+    for k in range(order):
+        ask = asker(k, shared)
+        if k:
+            asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, CELL)
+        else:
+            asked = chunks.transform(mapped, lambda it, ask=ask: (x for b in it for i in range(b.num_rows) for x in ask(pa.Table.from_batches([b.slice(i, 1)]), None).to_batches()), CELL)
+        got = saved(asked.groupBy("bucket").applyInArrow(adder(k), ANSWERS))
+        parts.append(got)
+        if k == 0:
+            sums = got.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "texts"))).first()
+            totals = tuple(int(x) for x in sums)
+        else:
+            names = got.where("name is not null").groupBy("name").agg(F.sum("followers").alias("followers"))
+            spread.append({r["name"]: r["followers"] for r in names.collect()})
+        if shared is not None:
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(list(spread))
+        now = got.where("chunk is not null").select("k", "chunk", "bucket", "payload")
+        answers = now if answers is None else answers.unionByName(now)
+
+    names = ["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not left.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(names, (left.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        c = Chunk(texts_of(left), left.column("learned").to_numpy())
-        got = [unpack(x, ANSWER) for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))]
-        count, fail, arc = (np.concatenate([g[k] for g in got]) for k in range(3))
-        out = traverse(c, count.astype(np.int64), fail, arc, totals, a)
-        return pa.table({"id": left.column("id"), "learned": left.column("learned"), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array([totals[0]] * left.num_rows, pa.int64()), "base_score": out["base_score"], "score": out["score"]})
+            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds, strict=True)})
+        chunk, counts = answered(left, right, order, shared)
+        machine = Automaton(chunk, counts, totals, a, discount)
+        sums = lambda x: np.add.reduceat(x[chunk.token], chunk.starts)
+        known = sums((counts.trained[0] > 0).astype(np.int64))
+        values = [left.column("ids")[0].values, left.column("learned")[0].values, chunk.sizes, known, np.full(len(chunk.sizes), totals[0]), sums(machine.arc[0]), machine.walk(chunk)]
+        return pa.table({c: v if isinstance(v, pa.Array) else pa.array(v, t) for c, v, t in zip(names, values, kinds, strict=True)})
 
     schema = f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(read, schema).withColumnRenamed("id", id_col)
-
-
-def texts_of(t: pa.Table) -> list[str]:
-    return [x for b in t.to_batches() for x in texts(b)]
+    out = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(read, schema))
+    dropped(chunks, *parts)
+    return out.withColumnRenamed("id", id_col)
