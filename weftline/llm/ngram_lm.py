@@ -26,8 +26,8 @@ it, and its number of followers is added up over them. There are at most
 (tokens / split) such histories, and `split` grows so that they stay under a
 million: that bounds the table which is broadcast.
 
-Words are told apart by 64-bit hashes, histories by a 64-bit mix of them, n-grams
-by history and last word (128 bits). Null texts have the end only. Rows with equal
+Words are told apart by 64-bit hashes, and numbered with the first order's answers;
+n-grams are told apart by their words' numbers. Null texts have the end only. Rows with equal
 ids, and equal rows, are scored one by one. A single text longer than a chunk is a
 chunk of its own. Other columns are ignored. Without training rows every count is
 0 and every text takes root arcs only.
@@ -35,6 +35,10 @@ chunk of its own. Other columns are ignored. Without training rows every count i
 
 from __future__ import annotations
 
+import itertools
+from array import array
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -62,34 +66,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The 64-bit name of a history with one more word behind it."""
-    return mix(history * np.uint64(0x9E3779B97F4A7C15) + word)
-
-
 def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], "<i8").tobytes(), *(a.tobytes() for a in arrays)])
-
-
-def unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, "<i8", len(kinds))
-    out, at = [], 8 * len(kinds)
-    for kind, n in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+    """Unsigned numbers, each array as planes of bytes, the lowest first, without planes of zeros at the end."""
+    head, body = [], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<u8")
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head += [len(a), width]
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), 8)[:, :width].T).tobytes())
+    return b"".join([np.array([len(arrays), *head], "<i8").tobytes(), *body])
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    m = int(np.frombuffer(data, "<i8", 1)[0])
+    head = np.frombuffer(data, "<i8", 2 * m, 8).tolist()
+    out, at = [], 8 + 16 * m
+    for n, width in zip(head[::2], head[1::2], strict=True):
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(a.view("<u8").reshape(n))
+        at += n * width
     return out
 
 
 def chunk_rows(batches, size: int, ids_type: pa.DataType):
     """Rows of packed texts: their distinct words' hashes, and each token as a word's number."""
     task, number = TaskContext.get().partitionId(), 0
-    ids, learned, sizes, tokens, numbers, held = [], [], [], [], {}, 0
+
+    def fresh():
+        return [], [], array("i"), array("I"), defaultdict(itertools.count().__next__), 0
+
+    ids, learned, sizes, tokens, numbers, held = fresh()
 
     def row():
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         n = sum(sizes)
-        columns = [pa.array([(task << 32) + number]), pa.array([ids], pa.list_(ids_type)), pa.array([learned], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32()))]
-        packed = [pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([np.array(tokens, "<u4").tobytes()], pa.binary()), pa.array([n], pa.int64())]
+        columns = [pa.array([(task << 32) + number]), pa.array([ids], pa.list_(ids_type)), pa.array([learned], pa.list_(pa.bool_())), pa.array([np.frombuffer(sizes, np.int32)], pa.list_(pa.int32()))]
+        packed = [pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([pack(np.frombuffer(tokens, np.uint32))], pa.binary()), pa.array([n], pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, *packed], ["chunk", "ids", "learned", "sizes", "words", "tokens", "n"])
 
     for b in batches:
@@ -99,8 +112,9 @@ def chunk_rows(batches, size: int, ids_type: pa.DataType):
             found = WORD_BYTES.findall(raw[offs[i] : offs[i + 1]].lower())
             if ids and held + offs[i + 1] - offs[i] > size:
                 yield row()
-                ids, learned, sizes, tokens, numbers, held, number = [], [], [], [], {}, 0, number + 1
-            tokens += [numbers.setdefault(w, len(numbers)) for w in found]
+                ids, learned, sizes, tokens, numbers, held = fresh()
+                number += 1
+            tokens.extend(map(numbers.__getitem__, found))
             ids.append(doc)
             learned.append(learn)
             sizes.append(len(found) + 1)
@@ -125,11 +139,10 @@ class Chunk:
         self.token = np.full(n, end, np.int64)
         inside = np.ones(n, bool)
         inside[self.ends - 1] = False
-        self.token[inside] = np.frombuffer(value["tokens"].as_buffer(), "<u4")
+        self.token[inside] = unpack(value["tokens"].as_buffer())[0]
         train = np.repeat(learned, self.sizes)
         # Order 1: the words themselves. grams[k]: each position's n-gram (-1: its history goes beyond the text).
         self.grams: list[np.ndarray] = [self.token]
-        self.names = [self.words]
         self.histories: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
         self.last = [np.arange(len(self.words))]
         self.trained = [np.bincount(self.token[train], minlength=len(self.words))]
@@ -151,7 +164,6 @@ class Chunk:
             self.grams.append(gram)
             self.histories.append(history)
             self.last.append(last)
-            self.names.append(joined(self.names[-1][history], self.words[last]))
             self.trained.append(np.bincount(at, train[ok], len(kinds)).astype(np.int64))
             self.occur.append(np.bincount(at, minlength=len(kinds)))
             before = np.full(n, -1, np.int64)
@@ -159,17 +171,34 @@ class Chunk:
             before[self.starts] = -1
 
 
+    def spelled(self, k: int, which: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        """The numbers of the words of some n-grams of k tokens, the last word first."""
+        out = []
+        for j in range(k - 1, -1, -1):
+            out.append(ids[self.last[j][which]])
+            which = self.histories[j][which]
+        return out
+
+
 def parts_of(load: np.ndarray, buckets: int, split: int) -> np.ndarray:
     """Over how many buckets histories of some loads (how often they occur at all) are dealt."""
     return np.clip(-(-load // split), 1, buckets)
 
 
-def arranged(chunk: Chunk, k: int, load: np.ndarray, buckets: int, split: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which a chunk asks for its n-grams of k + 1 tokens, and the bounds of each bucket in it. load: of each history; words have none."""
-    name, word = (chunk.names[k - 1][chunk.histories[k]], chunk.words[chunk.last[k]]) if k else (chunk.words, chunk.words)
-    parts = parts_of(load, buckets, split)[chunk.histories[k]].astype(np.uint64) if k else np.uint64(1)
-    base = ((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    bucket = (base + mix(word) % parts) % np.uint64(buckets)
+def arranged(chunk: Chunk, k: int, ids: np.ndarray | None, load: np.ndarray | None, buckets: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk asks for its n-grams of k + 1 tokens, and the bounds of each bucket in it. ids: of its words; load: of each history. Words are asked for by their hashes."""
+    if k:
+        which = np.arange(len(chunk.trained[k - 1]))
+        name = np.zeros(len(which), np.uint64)
+        for x in chunk.spelled(k, which, ids):
+            name = mix(name * np.uint64(0x9E3779B97F4A7C15) + x + np.uint64(1))
+        parts = parts_of(load, buckets, split).astype(np.uint64)
+        own = chunk.histories[k]
+        bucket = (name % np.uint64(buckets))[own]
+        spread = np.flatnonzero(parts[own] > 1)
+        bucket[spread] = (bucket[spread] + mix(ids[chunk.last[k][spread]]) % parts[own[spread]]) % np.uint64(buckets)
+    else:
+        bucket = mix(chunk.words) % np.uint64(buckets)
     # N-grams come sorted by history, and stay so within a bucket.
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
@@ -180,88 +209,105 @@ def runs_of(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-ASK = ["<u8", "<u4", "<u4", "<u8", "<u4", "<u4"]  # histories, numbers of buckets they are dealt over, numbers of followers; followers, counts in training, counts in all
-ANSWER = ["<u8", "<u8", "<u4"]  # of each n-gram its counts in training and in all; of each history its kinds of followers in training, in this bucket
-
-
-def asks(chunk: Chunk, k: int, load: np.ndarray, buckets: int, split: int) -> pa.Table:
-    order, cuts = arranged(chunk, k, load, buckets, split)
-    names = chunk.names[k - 1] if k else np.zeros(1, np.uint64)
-    parts = parts_of(load, buckets, split) if k else np.ones(1, np.int64)
+def asks(chunk: Chunk, k: int, ids: np.ndarray | None, load: np.ndarray | None, buckets: int, split: int) -> pa.Table:
+    """A row for each bucket. Of words: hashes, counts in training and in all. Of longer n-grams: each history's number of followers and of buckets; the followers, counts in training and in all; the words of each history."""
+    order, cuts = arranged(chunk, k, ids, load, buckets, split)
     where, payload = np.flatnonzero(np.diff(cuts)), []
     for b in where:
         at = order[cuts[b] : cuts[b + 1]]
+        counts = chunk.trained[k][at], chunk.occur[k][at]
+        if not k:
+            payload.append(pack(chunk.words[at], *counts))
+            continue
         own = chunk.histories[k][at]
         new = runs_of(own)
-        h, followers = own[new], np.diff(np.append(new, len(own)))
-        payload.append(pack(names[h], parts[h].astype("<u4"), followers.astype("<u4"), chunk.words[chunk.last[k][at]], chunk.trained[k][at].astype("<u4"), chunk.occur[k][at].astype("<u4")))
+        h = own[new]
+        payload.append(pack(np.diff(np.append(new, len(own))), parts_of(load[h], buckets, split), ids[chunk.last[k][at]], *counts, *chunk.spelled(k, h, ids)))
     return pa.table({"chunk": pa.array([chunk.number] * len(where), pa.int64()), "bucket": pa.array(where, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
-ANSWERS = "k int, chunk long, bucket int, payload binary, name long, followers long, tokens long, kinds long, texts long"
+ANSWERS = "k int, chunk long, bucket int, payload binary, name string, followers long, tokens long, kinds long, texts long"
+
+
+def table_of(k: int, bucket: int, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    rows = [{"k": k, "bucket": bucket, **r} for r in rows]
+    return pa.table({c: pa.array([r.get(c) for r in rows], kinds[t]) for c, t in (x.split() for x in ANSWERS.split(", "))})
+
+
+def number_words(table: pa.Table, buckets: int) -> pa.Table:
+    """One bucket's answers about words: counts in training and in all, and a number, small for frequent words, that only this word has. A further row has the sums of training."""
+    asked = [unpack(x) for x in table.column("payload").to_pylist()]
+    words, of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    trained, occur = (np.bincount(of, np.concatenate([a[i] for a in asked]).astype(np.float64), len(words)).astype(np.int64) for i in (1, 2))
+    bucket = table.column("bucket")[0].as_py()
+    ids = np.empty(len(words), np.int64)
+    ids[np.argsort(-occur, kind="stable")] = np.arange(len(words)) * buckets + bucket
+    cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
+    rows = [{"chunk": c, "payload": pack(trained[of[x:y]], occur[of[x:y]], ids[of[x:y]])} for c, x, y in zip(table.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    begin = words == BEGIN
+    rows.append({"tokens": int(trained[~begin].sum()), "kinds": int((trained[~begin] > 0).sum()), "texts": int(trained[begin].sum())})
+    return table_of(0, bucket, rows)
 
 
 def add_up(table: pa.Table, k: int) -> pa.Table:
-    """One bucket's answers to all chunks. Besides, for words a row of its tokens, their kinds and texts in training; for longer n-grams a row of each history dealt over several buckets, with its followers in this one."""
-    asked = [unpack(x, ASK) for x in table.column("payload").to_pylist()]
-    h_sizes, p_sizes = [len(a[0]) for a in asked], [len(a[3]) for a in asked]
-    names, first, h_of = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
-    parts = np.concatenate([a[1] for a in asked])[first]
-    p_h, p_w = np.repeat(h_of, np.concatenate([a[2] for a in asked])), np.concatenate([a[3] for a in asked])
+    """One bucket's answers about n-grams of k + 1 tokens: counts in training and in all, and of each history its kinds of followers in training. A further row for each history dealt over several buckets has its followers in this one."""
+    asked = [unpack(x) for x in table.column("payload").to_pylist()]
+    column = lambda i: np.concatenate([a[i] for a in asked])
+    spelled = np.stack([column(i) for i in range(5, 5 + k)])
+    order = np.lexsort(spelled)
+    same = (spelled[:, order[1:]] == spelled[:, order[:-1]]).all(axis=0)
+    h_of = np.empty(len(order), np.int64)
+    h_of[order] = np.cumsum(np.append(True, ~same)) - 1
+    n = int(h_of.max()) + 1
+    some = np.empty(n, np.int64)
+    some[h_of] = np.arange(len(h_of))
+    p_h, p_w = np.repeat(h_of, column(0).astype(np.int64)), column(2)
     order = np.lexsort((p_w, p_h))
     new = np.append(True, (p_h[order][1:] != p_h[order][:-1]) | (p_w[order][1:] != p_w[order][:-1]))
     at = np.flatnonzero(new)
-    trained, occur = (np.add.reduceat(np.concatenate([a[i] for a in asked]).astype(np.int64)[order], at) for i in (4, 5))
-    followers = np.bincount(p_h[order][at], trained > 0, len(names)).astype(np.int64)
+    trained, occur = (np.add.reduceat(column(i).astype(np.int64)[order], at) for i in (3, 4))
+    followers = np.bincount(p_h[order][at], trained > 0, n).astype(np.int64)
     p_of = np.empty(len(p_w), np.int64)
     p_of[order] = np.cumsum(new) - 1
-    bucket = table.column("bucket")[0].as_py()
-    rows: dict[str, list] = {c: [] for c in ("chunk", "payload", "name", "followers", "tokens", "kinds", "texts")}
-
-    def add(**values):
-        for c in rows:
-            rows[c].append(values.get(c))
-
-    i = j = 0
-    for chunk, m, n in zip(table.column("chunk").to_pylist(), h_sizes, p_sizes, strict=True):
-        own = p_of[j : j + n]
-        add(chunk=chunk, payload=pack(trained[own].astype("<u8"), occur[own].astype("<u8"), followers[h_of[i : i + m]].astype("<u4")))
-        i, j = i + m, j + n
-    if k == 0:
-        begin = p_w[order][at] == BEGIN
-        add(tokens=int(trained[~begin].sum()), kinds=int((trained[~begin] > 0).sum()), texts=int(trained[begin].sum()))
-    for h in np.flatnonzero(parts > 1):
-        add(name=int(names[h].view(np.int64)), followers=int(followers[h]))
-    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}
-    n = len(rows["chunk"])
-    rows |= {"k": [k] * n, "bucket": [bucket] * n}
-    return pa.table({c.split()[0]: pa.array(rows[c.split()[0]], kinds.get(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64())) for c in ANSWERS.split(", ")})
+    rows, i, j = [], 0, 0
+    for chunk, a in zip(table.column("chunk").to_pylist(), asked, strict=True):
+        own = p_of[j : j + len(a[2])]
+        rows.append({"chunk": chunk, "payload": pack(trained[own], occur[own], followers[h_of[i : i + len(a[0])]])})
+        i, j = i + len(a[0]), j + len(a[2])
+    for h in np.flatnonzero(column(1)[some] > 1):
+        rows.append({"name": " ".join(map(str, spelled[:, some[h]])), "followers": int(followers[h])})
+    return table_of(k, table.column("bucket")[0].as_py(), rows)
 
 
 class Counts:
-    """What a chunk was answered: of each n-gram of its own its counts in training and in all, of each history its kinds of followers."""
+    """What a chunk was answered: the numbers of its words; of each n-gram of its own its counts in training and in all, of each history its kinds of followers."""
 
-    def __init__(self, chunk: Chunk, answers: pa.Table, orders: int, buckets: int, split: int, spread: list[dict[int, int]]):
-        self.trained, self.load, self.followers = [], [], [None]
+    def __init__(self, chunk: Chunk, answers: pa.Table, orders: int, buckets: int, split: int, spread: list[dict[str, int]]):
+        self.trained, self.load, self.followers, self.ids = [], [], [None], None
         level, bucket, payload = answers.column("k").to_numpy(), answers.column("bucket").to_numpy(), answers.column("payload").to_pylist()
         for k in range(orders):
             rows = np.flatnonzero(level == k)
-            got = [unpack(payload[r], ANSWER) for r in rows[np.argsort(bucket[rows])]]
+            got = [unpack(payload[r]) for r in rows[np.argsort(bucket[rows])]]
             load = self.load[k - 1] if k else None
-            order, cuts = arranged(chunk, k, load, buckets, split)
-            trained, occur = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-            if len(order):
-                trained[order], occur[order] = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (0, 1))
-            self.trained.append(trained)
-            self.load.append(occur)
-            if k:
-                followers = np.zeros(len(chunk.names[k - 1]), np.int64)
-                for g, b in zip(got, np.flatnonzero(np.diff(cuts)), strict=True):
-                    own = chunk.histories[k][order[cuts[b] : cuts[b + 1]]]
-                    followers[own[runs_of(own)]] = g[2]
-                for h in np.flatnonzero(load > split):
-                    followers[h] = spread[k].get(int(chunk.names[k - 1][h].view(np.int64)), followers[h])
-                self.followers.append(followers)
+            order, cuts = arranged(chunk, k, self.ids, load, buckets, split)
+            columns = [np.zeros(len(order), np.int64) for _ in range(2 if k else 3)]
+            for i, c in enumerate(columns):
+                if len(order):
+                    c[order] = np.concatenate([g[i] for g in got]).astype(np.int64)
+            self.trained.append(columns[0])
+            self.load.append(columns[1])
+            if not k:
+                self.ids = columns[2].astype(np.uint64)
+                continue
+            followers = np.zeros(len(chunk.trained[k - 1]), np.int64)
+            for g, b in zip(got, np.flatnonzero(np.diff(cuts)), strict=True):
+                own = chunk.histories[k][order[cuts[b] : cuts[b + 1]]]
+                followers[own[runs_of(own)]] = g[2]
+            many = np.flatnonzero(load > split)
+            for h, name in zip(many, zip(*chunk.spelled(k, many, self.ids), strict=True), strict=True):
+                followers[h] = spread[k].get(" ".join(map(str, name)), followers[h])
+            self.followers.append(followers)
 
 
 class Automaton:
@@ -330,7 +376,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     chunks = saved(own.transform(mapped, lambda it: chunk_rows(it, chunk_bytes, id_type), CHUNK_ROW.format(kind=kind)))
     every = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets, split = max(1, -(-every // bucket_tokens)), max(split, every // MOST_SPLIT)
-    spread: list[dict[int, int]] = [{}]
+    spread: list[dict[str, int]] = [{}]
     answers: DataFrame | None = None
     parts: list[DataFrame] = []
 
@@ -343,16 +389,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             if not left.num_rows:
                 return pa.table({"chunk": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
             if not k:
-                chunk, load = Chunk(left, 1), None
-            else:
-                chunk, counts = answered(left, right, k, shared)
-                load = counts.load[k - 1]
-            return asks(chunk, k, load, buckets, split)
+                return asks(Chunk(left, 1), 0, None, None, buckets, split)
+            chunk, counts = answered(left, right, k, shared)
+            return asks(chunk, k, counts.ids, counts.load[k - 1], buckets, split)
 
         return ask
 
     def adder(k: int):
-        return lambda t: add_up(t, k)
+        return (lambda t: add_up(t, k)) if k else (lambda t: number_words(t, buckets))
 
     shared = None
     for k in range(order):
