@@ -5,12 +5,12 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions.conditions import MISSING, and_, eq, gt, in_array, is_null, map_with, ne, not_in_subquery, or_, placeholder, sql_join
+from weftline.functions.conditions import MISSING, and_, eq, gt, in_array, is_not_null, is_null, map_with, ne, not_in_subquery, or_, placeholder, sql_join
 from weftline.functions.scalars import int_div, json_array_some, json_merge, search_normalize
 from weftline.operators.query import Database
-from weftline.operators.write import MutationBatch, Writer, violations
+from weftline.operators.write import KeyConflict, MutationBatch, Writer, violations
 from weftline.plans import model as M
-from weftline.plans.batch import QueryBatch, QueryTimeout, future, future_count, future_first_or_default, prepare, run_all, with_timeout
+from weftline.plans.batch import QueryBatch, QueryTimeout, Tracer, future, future_count, future_first_or_default, prepare, run_all, with_timeout
 from weftline.plans.schema import Migrations, SchemaManager, enum_order, outside_enum, validated
 from weftline.sources.tables import Store, Transaction
 
@@ -131,7 +131,7 @@ def test_scalars(spark):
     row = spark.range(1).select(
         int_div(F.lit(-7), 2), json_merge(F.lit(None).cast("string"), '{"a":1}'), json_array_some(F.lit('[{"a":{"b":"x"}}]'), lambda e: e.a.b == "x"), search_normalize("ÀÉœŁ"),
     ).first()
-    assert tuple(row) == (-3, '{"a":1}', True, "aeœl")
+    assert tuple(row) == (-3, '{"a":1}', True, "aeoel")
 
 
 def test_prepared_and_futures(db):
@@ -152,6 +152,35 @@ def test_query_batch(db):
     assert b.execute() == [[{"id": 3, "age": 45}, {"id": 2, "age": None}, {"id": 1, "age": 25}], 4, None]
 
 
+def test_equal_collections_are_read_once(db):
+    q = db.users.select(lambda u: {"n": u.posts.count(), "sum": u.posts.sum(lambda p: p.views), "ids": u.posts.order_by(lambda p: [(p.views, "DESC"), p.id]).select(lambda p: p.id).to_list(), "some": u.posts.where(lambda p: gt(p.views, 120)).count()})
+    plan = q.df()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan
+    assert sorted(values(q), key=str) == [(0, None, [], 0), (1, None, [3], 0), (2, 250, [2, 1], 1)]
+
+
+def test_not_in_is_no_null_aware_join(db, spark):
+    q = db.users.where(lambda u: not_in_subquery(u.id, db.posts.where(lambda p: gt(p.id, 2)).select(lambda p: {"v": p.views})))
+    assert q.count() == 0
+    q = db.users.where(lambda u: not_in_subquery(u.age, db.posts.where(lambda p: gt(p.id, 99)).select(lambda p: {"v": p.views})))
+    assert q.count() == 3
+    q = db.users.where(lambda u: not_in_subquery(u.age, db.posts.where(lambda p: is_not_null(p.views)).select(lambda p: {"v": p.views})))
+    assert sorted(r.id for r in q.to_list()) == [1, 3]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Broadcast" not in q.df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_options_limit_and_trace(db):
+    slow = []
+    tracer = Tracer(expected=0.0, on_slow=lambda phase, took: slow.append(phase))
+    own = db.with_options(timeout=60, tracer=tracer)
+    assert len(own.users.to_list()) == own.users.count() == 3
+    assert slow == ["list", "count"] and set(tracer.phases) == {"list", "count"}
+
+
 def test_timeout(spark):
     slow = lambda: spark.range(4, numPartitions=4).rdd.map(lambda x: __import__("time").sleep(30)).count()
     with pytest.raises(QueryTimeout):
@@ -170,6 +199,69 @@ def test_upsert_overwrites_with_null(db):
     assert kept.affected_count() == 0
 
 
+def test_update_loses_no_row(db, spark):
+    """A required reference without a partner gives null; columns without a mapping stay."""
+    m = M.Model()
+    m.entity("users", "id", id=M.integer(), name=M.text())
+    m.entity("posts", "id", id=M.integer(), user_id=M.integer(), kind=M.text()).has_one("user", "users", "user_id", "id", True)
+    own = Database(spark, m, db.tables)
+    w = Writer(own, "posts").update(lambda p: gt(p.id, 1), lambda p: {"kind": p.user.name})
+    assert rows(w.after) == [(1, 1, 100, "top"), (2, 1, 150, "alice"), (3, 2, None, "bob"), (4, None, 7, None)] and w.affected_count() == 3
+    w = Writer(own, "posts").update(lambda p: eq(p.user.name, "bob"), {"kind": "x"})
+    assert rows(w.after) == [(1, 1, 100, "top"), (2, 1, 150, "low"), (3, 2, None, "x"), (4, None, 7, "top")]
+    w = Writer(own, "posts").update(lambda p: eq(p.id, 3), {"kind": "y"})
+    assert (3, 2, None, "y") in rows(w.after) and w.after.count() == 4
+    assert (3, 2, 1, "mid") in rows(Writer(own, "posts").update(lambda p: eq(p.id, 3), {"views": 1}).after)
+    with pytest.raises(ValueError):
+        Writer(own, "posts").update(lambda p: eq(p.id, 3), {"nothing": 1})
+
+
+def test_key_conflicts_fail(db, spark):
+    two = [{"id": 1, "age": 1}, {"id": 1, "age": 2}]
+    frame = spark.createDataFrame([(1, 1), (1, 2)], "id int, age int")
+    for act in (Writer(db, "users").upsert_bulk, lambda r: Writer(db, "users").merge_bulk(r, on="id"), Writer(db, "users").bulk_update, Writer(db, "users").insert_bulk):
+        with pytest.raises(KeyConflict):
+            act(two)
+        with pytest.raises(Exception, match="one key"):
+            act(frame).after.collect()
+    with pytest.raises(Exception, match="a key that exists"):
+        Writer(db, "users").insert({"id": 2, "name": "again"}).after.collect()
+    assert Writer(db, "users").insert({"id": 9, "name": "new"}).after.count() == 4
+    for bad in ([{"age": 3}], [{"id": 1}], [{"id": None, "age": 3}]):
+        with pytest.raises(ValueError):
+            Writer(db, "users").bulk_update(bad)
+    assert Writer(db, "users").bulk_update([]).affected_count() == 0
+    w = Writer(db, "users").bulk_update([{"id": 1, "age": None}, {"id": 3, "name": "z"}, {"id": 77, "age": 1}])
+    assert rows(w.after) == [(1, "alice", None, 86400), (2, "bob", None, None), (3, "z", 45, 0)] and w.affected_count() == 2
+
+
+def test_numbers_go_on_over_partitions(db, spark):
+    frame = spark.range(50, numPartitions=7).selectExpr("cast(id as string) as name")
+    got = Writer(db, "users").insert_numbered(frame, "id").affected.collect()
+    assert sorted(r.id for r in got) == list(range(4, 54)) and [r.name for r in sorted(got, key=lambda r: r.id)] == [str(i) for i in range(50)]
+
+
+def test_a_batch_gives_one_state(db, spark, tmp_path):
+    b = MutationBatch(db)
+    b.add_delete_where_in("gone", "users", "id", [1])
+    b.add_update_where_in("named", "users", "id", [2], {"name": "z"})
+    b.add_upsert_bulk("up", "users", [{"id": 7, "name": "new"}, {"id": 3, "name": "c"}])
+    b.add_insert_bulk("more", "posts", [{"id": 9, "user_id": 7}])
+    b.add_bulk_update("kinds", "posts", [{"id": 1, "kind": "low"}])
+    store = Store(spark, str(tmp_path))
+    got = b.commit(store)
+    assert rows(got["users"]) == [(2, "z", None, None), (3, "c", 45, 0), (7, "new", None, None)]
+    assert rows(got["posts"])[0] == (1, 1, 100, "low") and got["posts"].count() == 5
+    again = Store(spark, str(tmp_path))
+    assert rows(again("users")) == rows(got["users"])
+    again.commit("users", again("users").limit(1))
+    with pytest.raises(RuntimeError):
+        store.commit("users", store("users"))
+    b.add_update_where_in("twice", "users", "id", [2], {"name": "y"})
+    with pytest.raises(Exception, match="several legs"):
+        b.states()["users"].collect()
+
+
 def test_update_and_delete_walk_relations(db):
     w = Writer(db, "posts").update(lambda p: eq(p.user.name, "alice"), lambda p: {"views": p.views + 1})
     assert sorted(r.views for r in w.affected.collect()) == [101, 151]
@@ -231,10 +323,12 @@ def test_schema_manager(spark):
     s.ensure_created()
     assert s.analyze() == []
     m["made"].prop("extra", M.bigint())
+    assert "add columns (`extra` bigint)" in s.scaffold() and compile(s.scaffold(), "step", "exec")
     assert s.migrate() == [] and "extra" in spark.table("made").columns
     assert s.column_keys("made") == ["id", "name", "extra"]
     runner = Migrations(spark, "journal_t")
     runner.add("one", lambda sp: sp.sql("create table if not exists step1 (x int) using parquet"), lambda sp: sp.sql("drop table step1"))
+    assert runner.status() == [("one", False)]
     assert runner.up() == ["one"] and runner.up() == [] and runner.down() == "one" and runner.applied() == []
     s.ensure_deleted()
     spark.sql("drop table journal_t")

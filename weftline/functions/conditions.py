@@ -127,7 +127,13 @@ def is_not_null(a) -> Column:
     return stored(a).isNotNull()
 
 
+def on_true(*_) -> Column:
+    """The condition of a join of all pairs."""
+    return F.lit(True)
+
+
 def and_(*parts):
+    parts = [p for p in parts if p is not None]
     if any(isinstance(p, Exists | All) for p in parts):
         return All(parts)
     return functools.reduce(operator.and_, parts, F.lit(True)) if parts else F.lit(True)
@@ -135,6 +141,7 @@ def and_(*parts):
 
 def or_(*parts) -> Column:
     """Without parts it is true, as and_ is."""
+    parts = [p for p in parts if p is not None]
     return functools.reduce(operator.or_, map(condition, parts)) if parts else F.lit(True)
 
 
@@ -157,8 +164,17 @@ def in_subquery(a, source) -> Column:
 
 
 def not_in_subquery(a, source) -> Column:
-    """No row passes if the subquery gives a null."""
-    return ~stored(a).isin(source.subquery_frame())
+    """No row passes if the subquery gives a null; all do if it gives nothing.
+
+    Planned as an anti join on equal values and two one-row checks: SQL's own NOT IN
+    would be planned as a null-aware join, which broadcasts the subquery whatever its size.
+    """
+    own = stored(a)
+    df = source.subquery_frame()
+    df = df.toDF("_in")
+    one = lambda c: df.agg(c.alias("_n")).scalar()
+    listed = df.where(F.col("_in") == own.outer()).exists()
+    return All([~listed, one(F.count(F.when(F.col("_in").isNull(), 1))) == 0, own.isNotNull() | (one(F.count(F.lit(1))) == 0)])
 
 
 eq_subquery, ne_subquery, gt_subquery, gte_subquery, lt_subquery, lte_subquery = map(_compare, (operator.eq, operator.ne, operator.gt, operator.ge, operator.lt, operator.le))

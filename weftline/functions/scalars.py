@@ -139,8 +139,15 @@ def accents() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
+# Letters that stand for two.
+TWO_LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ŉ": "'n", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
+
+
 def search_normalize(v) -> Column:
-    return F.lower(F.translate(stored(value(v)), *accents()))
+    out = F.translate(stored(value(v)), *accents())
+    for one, two in TWO_LETTERS.items():
+        out = F.replace(out, F.lit(one), F.lit(two))
+    return F.lower(out)
 
 
 def normalized_eq(c, v) -> Column:
@@ -155,6 +162,11 @@ def normalized_starts_with(c, v) -> Column:
     return search_normalize(c).startswith(search_normalize(v))
 
 
+def array_of(*items) -> Column:
+    """An array of literals or columns."""
+    return F.array(*[stored(value(x)) for x in items])
+
+
 def contains_search(s: str) -> str:
     return f"%{s}%"
 

@@ -36,13 +36,44 @@ def named(name: str, **marks) -> Column:
 
 
 class Frame:
-    """The DataFrame that grows joins while a lambda reads rows. One for each step, so queries stay immutable."""
+    """The DataFrame that grows joins while a lambda reads rows. One for each step, so queries stay immutable.
 
-    def __init__(self, db: Database, df: DataFrame, joined: dict):
-        self.db, self.df, self.joined = db, df, dict(joined)
+    Aggregates of collections wait until the frame is read: those over the same
+    children become one aggregation and one join. keep_rows: required references
+    are joined as optional ones.
+    """
+
+    def __init__(self, db: Database, df: DataFrame, joined: dict, keep_rows: bool = False):
+        self.db, self.base, self.joined, self.keep_rows = db, df, dict(joined), keep_rows
+        self.waiting: list[tuple[list[Column], Frame, list[str], list[Column]]] = []
+
+    @property
+    def df(self) -> DataFrame:
+        waiting, self.waiting = self.waiting, []
+        for parents, children, keys, values in waiting:
+            own = {k: fresh("k") for k in keys}
+            grouped = children.df.groupBy(*keys).agg(*values).withColumnsRenamed(own)
+            self.base = self.base.join(grouped, same_keys(parents, own.values()), "left")
+        return self.base
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self.base = df
+
+    def await_aggregate(self, parents: list[Column], children: Frame, keys: list[str], value: Column) -> None:
+        for p, c, k, values in self.waiting:
+            # Children that joined something of their own for the value are not the same.
+            if k == keys and not c.joined and not children.joined and [x.__dict__.get("_name") for x in p] == [x.__dict__.get("_name") for x in parents] and c.df.sameSemantics(children.df):
+                values.append(value)
+                return
+        self.waiting.append((parents, children, keys, [value]))
 
     def copy(self) -> Frame:
-        return Frame(self.db, self.df, self.joined)
+        return Frame(self.db, self.df, self.joined, self.keep_rows)
+
+
+def same_keys(parents, keys) -> Column:
+    return functools.reduce(operator.and_, [p == F.col(f"`{k}`") for p, k in zip(parents, keys, strict=True)])
 
 
 class Row:
@@ -76,7 +107,7 @@ class Row:
         if key not in f.joined:
             alias = fresh(r.name)
             target = f.db.frame(r.target, alias)
-            f.df = f.df.join(target, on_pairs(r, self._alias, alias), "inner" if r.required else "left")
+            f.df = f.df.join(target, on_pairs(r, self._alias, alias), "inner" if r.required and not f.keep_rows else "left")
             f.joined[key] = alias
         return Row(f, f.db.model[r.target], f.joined[key])
 
@@ -128,15 +159,29 @@ def as_column(x) -> Column:
     return value(x)
 
 
-def orderings(spec) -> list[Column]:
-    """Sort columns of a column, a list, or (column, "ASC" | "DESC") pairs: nulls last going up, first going down."""
+def sort_pairs(spec) -> list[tuple[Column, bool]]:
+    """(column, whether it goes down) of a column, a list, or (column, "ASC" | "DESC") pairs."""
     items = spec if isinstance(spec, list) else [spec]
-    out = []
-    for x in items:
-        c, way = x if isinstance(x, tuple) else (x, "ASC")
-        c = as_column(c)
-        out.append(c.desc_nulls_first() if way.upper() == "DESC" else c.asc_nulls_last())
-    return out
+    pairs = [x if isinstance(x, tuple) else (x, "ASC") for x in items]
+    return [(as_column(c), way.upper() == "DESC") for c, way in pairs]
+
+
+def orderings(spec) -> list[Column]:
+    """Sort columns: nulls last going up, first going down."""
+    return [c.desc_nulls_first() if down else c.asc_nulls_last() for c, down in sort_pairs(spec)]
+
+
+def rising(c: Column, kind: T.DataType, down: bool) -> list[Column] | None:
+    """Columns without nulls' own order, whose rising order is that of c (nulls last going up, first going down); None if its type has no such form."""
+    if not down:
+        return [c.isNull(), c]
+    if isinstance(kind, T.IntegralType):
+        return [c.isNotNull(), F.bitwise_not(c)]
+    if isinstance(kind, T.FractionalType):
+        return [c.isNotNull(), ~F.isnan(c.cast("double")), -c]
+    if isinstance(kind, T.DateType):
+        return [c.isNotNull(), -F.unix_date(c)]
+    return None
 
 
 class Database:
@@ -147,10 +192,13 @@ class Database:
         self._read: dict[str, DataFrame] = {}
         self._ctes: dict[str, Cte] = {}
         self.strategy, self.mappers = "aggregate", True
+        self.timeout, self.tracer = None, None
 
-    def with_options(self, collection_strategy: str | None = None, disable_mappers: bool | None = None) -> Database:
+    def with_options(self, collection_strategy: str | None = None, disable_mappers: bool | None = None, timeout: float | None = None, tracer=None) -> Database:
         """The same tables under other options.
 
+        timeout: seconds after which a query's jobs are stopped. tracer: a plans.batch.Tracer that times queries and tells slow ones.
+
         collection_strategy: how a collection's rows are gathered. aggregate (also called cte or lateral: Catalyst takes
         correlation apart to the same plan) groups all children by key; keys_first (temptable) keeps only those of the
         parents at hand before, which pays where few parents are left.
@@ -160,8 +208,16 @@ class Database:
         names = {"aggregate": "aggregate", "cte": "aggregate", "lateral": "aggregate", "keys_first": "keys_first", "temptable": "keys_first"}
         other.strategy = names[collection_strategy] if collection_strategy else self.strategy
         other.mappers = not disable_mappers if disable_mappers is not None else self.mappers
+        other.timeout, other.tracer = timeout or self.timeout, tracer or self.tracer
         return other
 
+    def run(self, phase: str, action: Callable):
+        """action() under the time limit and the tracer of these options."""
+        from ..plans.batch import with_timeout
+
+        limited = action if self.timeout is None else lambda: with_timeout(self.spark, action, self.timeout)
+        return limited() if self.tracer is None else self.tracer.run(phase, limited)
+
     def raw_frame(self, entity: str) -> DataFrame:
         table = self.model[entity].qualified
         if table not in self._read:
@@ -418,11 +474,12 @@ class Query:
         return df.select(*shown)
 
     def to_list(self) -> list:
-        return self.df().collect()
+        df = self.df()
+        return self.db.run("list", df.collect)
 
     def first(self):
         """The first row, or None."""
-        rows = self.limit(1).df().collect()
+        rows = self.db.run("first", self.limit(1).df().collect)
         return rows[0] if rows else None
 
     first_or_default = first
@@ -444,7 +501,11 @@ class Query:
         return self._counted.df.select(F.count(F.lit(1)).alias("count"))
 
     def count(self) -> int:
-        return self.count_frame().first()[0]
+        return self.db.run("count", self.count_frame().first)[0]
+
+    def exists_frame(self) -> DataFrame:
+        """One row: whether there is any."""
+        return self._counted.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("exists"))
 
     def exists(self) -> bool:
         return bool(self._counted.df.limit(1).count())
@@ -769,7 +830,8 @@ class Collection:
     def _children(self) -> tuple[Frame, object, list[str]]:
         """(frame, row, key columns) of the filtered children, keys named as the parent's pairs."""
         db = self._parent._frame.db
-        alias = fresh(self._r.name)
+        # The same name each time: equal collections of a parent then have equal plans.
+        alias = f"{self._parent._alias}_{self._r.name}"
         f = Frame(db, db.frame(self._r.target, alias), {})
         row = Row(f, db.model[self._r.target], alias)
         keys = []
@@ -783,13 +845,13 @@ class Collection:
                 f.df = f.df.withColumn(name, F.col(f"`{alias}__{theirs}`"))
                 keys.append(name)
         if db.strategy == "keys_first" and keys:
-            asked = self._parent._frame.df.select(*[p.alias(f"{k}_p") for p, k in zip(self._parent_keys(), keys, strict=True)])
+            asked = self._parent._frame.base.select(*[p.alias(f"{k}_p") for p, k in zip(self._parent_keys(), keys, strict=True)])
             f.df = f.df.join(asked, functools.reduce(operator.and_, [F.col(f"`{k}`") == F.col(f"`{k}_p`") for k in keys]), "left_semi")
         for step, tests in self._through:
             for t in tests:
                 f = _filtered(f, lambda fr, e=row._entity, a=row._alias: Row(fr, e, a), t)
             inner = step(Row(f, row._entity, row._alias))
-            g = fresh(inner._r.name)
+            g = f"{row._alias}_{inner._r.name}"
             f.df = f.df.join(db.frame(inner._r.target, g), on_pairs(inner._r, row._alias, g), "inner")
             row = Row(f, db.model[inner._r.target], g)
             for t in inner._tests:
@@ -799,18 +861,23 @@ class Collection:
         return f, Row(f, row._entity, row._alias), keys
 
     def _parent_keys(self) -> list[Column]:
-        return [F.col(f"`{self._parent._alias}__{own}`") for own, theirs in self._r.pairs if not isinstance(own, Literal) and not isinstance(theirs, Literal)]
+        return [named(f"{self._parent._alias}__{own}") for own, theirs in self._r.pairs if not isinstance(own, Literal) and not isinstance(theirs, Literal)]
 
     def keep(self, frame: Frame, negated: bool) -> None:
         """Parents that have such a child (or none), by a semi or anti join."""
         f, _, keys = self._children()
-        on = functools.reduce(operator.and_, [p == F.col(f"`{k}`") for p, k in zip(self._parent_keys(), keys, strict=True)])
-        frame.df = frame.df.join(f.df, on, "left_anti" if negated else "left_semi")
+        own = {k: fresh("k") for k in keys}
+        children = f.df.select(*[F.col(f"`{k}`").alias(n) for k, n in own.items()])
+        frame.df = frame.df.join(children, same_keys(self._parent_keys(), own.values()), "left_anti" if negated else "left_semi")
 
     def _attach(self, df: DataFrame, keys: list[str], name: str) -> Column:
         frame = self._parent._frame
-        on = functools.reduce(operator.and_, [p == F.col(f"`{k}`") for p, k in zip(self._parent_keys(), keys, strict=True)])
-        frame.df = frame.df.join(df, on, "left")
+        own = {k: fresh("k") for k in keys}
+        frame.df = frame.df.join(df.withColumnsRenamed(own), same_keys(self._parent_keys(), own.values()), "left")
+        return named(name)
+
+    def _awaited(self, f: Frame, keys: list[str], aggregate: Column, name: str) -> Column:
+        self._parent._frame.await_aggregate(self._parent_keys(), f, keys, aggregate.alias(name))
         return named(name)
 
     def _ranked(self):
@@ -840,10 +907,36 @@ class Collection:
             f.df = f.df.withColumn("_v", v)
         return f.df, keys, rank, shape
 
+    def _gathered(self) -> tuple[Frame, list[str], Column, T.DataType] | None:
+        """(children, keys, their values as an array in order, type of a value), where nothing is cut or made distinct and the order has a rising form: no window is needed then."""
+        if self._limit is not None or self._offset is not None or self._distinct:
+            return None
+        f, row, keys = self._children()
+        v = as_column(self._shape(row) if self._shape else row._all())
+        if not self._order:
+            return f, keys, F.collect_list(v), f.df.select(v.alias("v")).schema["v"].dataType
+        ties = [(F.col(f"`{row._alias}__{k}`"), False) for k in (row._entity.key or tuple(row._entity.columns))]
+        pairs = [*sort_pairs(self._order(row)), *ties]
+        kinds = f.df.select(v.alias("v"), *[c.alias(f"c{i}") for i, (c, _) in enumerate(pairs)]).schema
+        fields = []
+        for i, (c, down) in enumerate(pairs):
+            up = rising(c, kinds[f"c{i}"].dataType, down)
+            if up is None or isinstance(kinds[f"c{i}"].dataType, T.MapType | T.VariantType):
+                return None
+            fields += up
+        items = F.collect_list(F.struct(*[x.alias(f"f{i}") for i, x in enumerate(fields)], F.struct(v.alias("v")).alias("item")))
+        if isinstance(kinds["v"].dataType, T.MapType | T.VariantType):
+            return None
+        return f, keys, F.transform(F.array_sort(items), lambda x: x["item"]["v"]), kinds["v"].dataType
+
     def to_list(self) -> Column:
         """An array of the items, empty where there are none."""
-        df, keys, rank, _ = self._ranked()
         name = fresh("list")
+        found = self._gathered()
+        if found:
+            f, keys, items, kind = found
+            return F.coalesce(self._awaited(f, keys, items, name), F.array().cast(T.ArrayType(kind)))
+        df, keys, rank, _ = self._ranked()
         if rank is None:
             items = F.collect_list("_v")
         else:
@@ -865,10 +958,8 @@ class Collection:
         name = fresh("agg")
         if c._limit is None and c._offset is None and not c._distinct:
             f, row, keys = c._children()
-            v = as_column(c._shape(row)) if c._shape else F.lit(1)
-            df = f.df.withColumn("_v", v)
-        else:
-            df, keys, _, _ = c._ranked()
+            return self._awaited(f, keys, make(as_column(c._shape(row)) if c._shape else F.lit(1)), name)
+        df, keys, _, _ = c._ranked()
         return self._attach(df.groupBy(*keys).agg(make(F.col("_v")).alias(name)), keys, name)
 
     def count(self) -> Column:

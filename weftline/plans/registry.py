@@ -569,7 +569,7 @@ def coalesce_arith(db):
     )
 
 
-@query("select doc_id, md5(lower(strip_accents(text))) as plain from documents where lower(strip_accents(text)) like '%ecole%' or lower(strip_accents(lang)) = 'de' or starts_with(lower(strip_accents(source)), 'src1')")
+@query("select doc_id, md5(replace(replace(replace(lower(strip_accents(text)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')) as plain from documents where lower(strip_accents(text)) like '%ecole%' or lower(strip_accents(lang)) = 'de' or starts_with(lower(strip_accents(source)), 'src1')")
 def search_normalized(db):
     return db.documents.where(lambda d: or_(normalized_like(d.text, contains_search("École")), normalized_eq(d.lang, "DÉ"), normalized_starts_with(d.source, "SRC1"))).select(
         lambda d: {"doc_id": d.doc_id, "plain": F.md5(search_normalize(d.text))}

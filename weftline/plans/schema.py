@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import accents
+from ..functions.scalars import TWO_LETTERS, accents
 from .model import EntityDef, Model
 
 
@@ -72,6 +72,24 @@ class SchemaManager:
                 left.append(o)
         return left
 
+    def scaffold(self) -> str:
+        """Python text of a migration step that would bring the catalog to the model: what analyze finds, as SQL to read before it is run."""
+        types = {e.qualified: {f.name: f.dataType.simpleString() for f in e.struct()} for e in self.model.entities.values()}
+        up, down = [], []
+        for o in self.analyze():
+            if o.kind == "create_table":
+                up.append(f"create table {o.table} ({', '.join(f'`{c}` {t}' for c, t in types[o.table].items())}) using parquet")
+                down.append(f"drop table {o.table}")
+            elif o.kind == "add_column":
+                up.append(f"alter table {o.table} add columns (`{o.column}` {o.type})")
+                down.append(f"alter table {o.table} drop column `{o.column}`")
+            elif o.kind == "drop_column":
+                up.append(f"alter table {o.table} drop column `{o.column}`")
+            else:
+                up.append(f"alter table {o.table} alter column `{o.column}` type {o.type}")
+        body = lambda lines: "".join(f"    spark.sql({x!r})\n" for x in lines) or "    pass\n"
+        return f"def up(spark):\n{body(up)}\n\ndef down(spark):\n{body(reversed(down))}"
+
     def compute_statistics(self) -> None:
         for e in self.model.entities.values():
             for _, columns in e.statistics:
@@ -80,7 +98,10 @@ class SchemaManager:
     def use_search_normalize(self) -> None:
         """Makes search_normalize(text) known to SQL."""
         marked, plain = accents()
-        self.spark.sql(f"create or replace temporary function search_normalize(s string) returns string return lower(translate(s, '{marked}', '{plain}'))")
+        text = f"translate(s, '{marked}', '{plain}')"
+        for one, two in TWO_LETTERS.items():
+            text = f"""replace({text}, '{one}', "{two}")"""
+        self.spark.sql(f"create or replace temporary function search_normalize(s string) returns string return lower({text})")
 
     def columns(self, entity: str) -> list[dict]:
         e = self.model[entity]
@@ -136,6 +157,11 @@ class Migrations:
     def _note(self, name: str, direction: str) -> None:
         self.spark.sql(f"insert into {self.journal} select '{name}', '{direction}', current_timestamp()")
 
+    def status(self) -> list[tuple[str, bool]]:
+        """Each step, and whether it is applied."""
+        done = set(self.applied())
+        return [(n, n in done) for n, _, _ in self.steps]
+
     def up(self) -> list[str]:
         done, ran = set(self.applied()), []
         for name, up, _ in self.steps:
