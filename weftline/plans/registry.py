@@ -652,3 +652,6 @@ def mutation_batch(db):
 @query("select n_name, 'x' || n_nationkey as tag from nation where n_nationkey > 20 and length(n_name) + n_regionkey > 10")
 def raw_condition(db):
     return db.nation.where(lambda n: and_(gt(n.n_nationkey, 20), sql("length({}) + {} > 10", n.n_name, n.n_regionkey))).select(lambda n: {"n_name": n.n_name, "tag": F.concat(raw("'x'"), n.n_nationkey.cast("string"))})
+
+
+from . import registry_more  # noqa: E402, F401  (it registers its queries with what is defined above)
