@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import ngram_lm, shards, simhash, suffix_merge, vectors, window_index
+from weftline.llm import ngram_lm, repeats, shards, simhash, suffix_merge, vectors, window_index
 from weftline.llm.common import WORD, crc_mod
 from weftline.llm.components import components
 
@@ -156,7 +156,7 @@ def removed_bytes(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("cap", [8192, 2])
+@pytest.mark.parametrize("cap", [1024, 2])
 def test_suffix_dedup_equals_brute_force(docs, rows, cap, monkeypatch, none):
     monkeypatch.setattr(suffix_merge.repeated_spans, "__defaults__", (suffix_merge.ANCHOR, cap))
     monkeypatch.setattr(suffix_merge, "ROUND", 3000)
@@ -168,6 +168,10 @@ def test_suffix_dedup_equals_brute_force(docs, rows, cap, monkeypatch, none):
         assert bytes(got[i].kept) == data[~g].tobytes() and got[i].n_bytes == len(data)
         assert len(got[i].removed) == int((g & ~np.append(False, g[:-1])).sum())
     assert sum(g.sum() for g in gone) > 5000
+    monkeypatch.setattr(repeats, "HOT", 3)
+    hot = {r.id: bytes(r.kept) for r in suffix_merge.deduplicate(docs).collect()}
+    alone = removed_bytes([(t or "").encode() for _, t, _ in rows])
+    assert hot == {i: np.frombuffer((t or "").encode(), np.uint8)[~g].tobytes() for (i, t, _), g in zip(rows, alone, strict=True)}
     assert suffix_merge.deduplicate(none).count() == 0
 
 
@@ -193,8 +197,10 @@ def kept_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 6])
-def test_window_index_equals_brute_force(docs, rows, batches, none):
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_window_index_equals_brute_force(docs, rows, batches, none, monkeypatch):
+    if batches == 3:
+        monkeypatch.setattr(repeats, "HOT", 2)
     got = {r.id: (r.n_words, r.kept) for r in window_index.deduplicate(docs, batches=batches).collect()}
     assert got == kept_words(rows, 20)
     if batches == 1:
@@ -203,13 +209,19 @@ def test_window_index_equals_brute_force(docs, rows, batches, none):
 
 def test_index_compacts(docs):
     keyed = window_index.with_key(docs, "doc_id", "text")
-    index = window_index.WindowIndex(fanout=2)
+    index = window_index.WindowIndex(docs.sparkSession, fanout=2)
     for k in range(4):
         index.add(keyed.where(f"id >= {k * 30} and id < {k * 30 + 30}"))
-    assert [len(level) for level in index.levels] == [0, 0, 1]
+    assert [len(level) for level in index.levels] == [0, 0, 1] and index.compactions == 3
     run = index.runs()[0]
-    assert run.count() == run.select("anchor", "content").distinct().count()
+    assert run.count() == run.select("anchor", "content", "second").distinct().count()
+    # A batch meets the run without moving or sorting it, and reads no text of earlier batches.
+    fresh = window_index.find_runs(keyed.where("id = 70"), window_index.word_elements, 20, 5, True)
+    plan = run.join(fresh.select("anchor").distinct().hint("merge"), "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("SortMergeJoin") :].split("HashAggregate")[0]
+    assert "Bucketed: true" in left and "Exchange" not in left
     index.close()
+    assert not index.runs()
 
 
 @pytest.fixture(scope="module")

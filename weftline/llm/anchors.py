@@ -4,8 +4,8 @@ Of each window of W elements (bytes, or words as hashes), the anchor is its run
 k elements whose hash is least (the first of equals). Equal windows have equal
 anchors at equal offsets, so a window can only repeat where its anchor does.
 Consecutive windows with one anchor form a run; there are about 2 / (W - k + 2)
-runs for each element, and a run is described by the hashes of its anchor and of
-all its content.
+runs for each element, and a run is described by its anchor's hash and by all its
+content.
 """
 
 from __future__ import annotations
@@ -60,9 +60,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(elements: np.ndarray, offs: np.ndarray, window: int, k: int) -> dict[str, np.ndarray]:
-    """Runs of documents elements[offs[i] : offs[i + 1]]: anchor and content hashes, document number, first window's start in it, number of windows."""
+    """Runs of documents elements[offs[i] : offs[i + 1]]: the anchor's hash and its start from the run's, document number, first window's start in it, number of windows."""
     n = len(elements)
-    none = {c: np.zeros(0, t) for c, t in (("anchor", np.int64), ("content", np.int64), ("row", np.int64), ("start", np.int64), ("n", np.int64))}
+    none = {c: np.zeros(0, t) for c, t in (("anchor", np.int64), ("place", np.int64), ("row", np.int64), ("start", np.int64), ("n", np.int64))}
     sizes = np.diff(offs)
     if n < window or not (sizes >= window).any():
         return none
@@ -79,11 +79,10 @@ def runs(elements: np.ndarray, offs: np.ndarray, window: int, k: int) -> dict[st
     starts = np.flatnonzero(new)
     order = np.cumsum(new)[ok] - 1
     count = np.bincount(order, minlength=len(starts))
-    whole = Rolling(elements, 1)
     row = np.searchsorted(offs, starts, side="right") - 1
     return {
         "anchor": g[where[starts]].view(np.int64),
-        "content": whole.of(starts, starts + count - 1 + window).view(np.int64),
+        "place": where[starts] - starts,
         "row": row,
         "start": starts - offs[row],
         "n": count,

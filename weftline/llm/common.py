@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -58,24 +59,33 @@ def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and reread, so that lineage ends there and later readers don't compute it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
-    # The shuffle files behind what is now written go with the query that made them.
+    with cleaned(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """The shuffle files behind what is written here go with the query that made them."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def dropped(*frames: DataFrame) -> None:
     """Deletes what saved() wrote for these frames."""
     for df in frames:
-        jvm = df.sparkSession._jvm
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             if "/weftline-" in f:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+                delete(df.sparkSession, f)
 
 
 #: Bytes of an Arrow batch that a worker gets at a time.

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE_HASH, runs
+from .anchors import BYTE_HASH, runs, window_hashes
 from .common import WORD_BYTES, mapped, pieces_of, text_bytes
 
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 20
 
-RUN = "anchor long, content long, doc long, first long, start int, n int"
+RUN = "anchor long, content long, second long, doc long, first long, start int, n int, place int"
+HASHES = ", hashes array<long>"
 
 
 def doc_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -44,21 +47,31 @@ def word_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(counts, np.int64)
 
 
-def find_runs(keyed: DataFrame, elements, window: int, k: int) -> DataFrame:
-    """RUN rows of each document; first orders documents (the id)."""
+def find_runs(keyed: DataFrame, elements, window: int, k: int, hashes: bool = False) -> DataFrame:
+    """RUN rows of each document; first orders documents (the id). content and second: a 128-bit digest of the run's elements. place: where its anchor starts, from the run's start. hashes: of each window too."""
 
     def run(batches):
         for b in batches:
             for part in pieces_of(b, BLOCK):
                 values, offs = elements(part)
+                raw = text_bytes(part)[0] if elements is byte_elements else values
                 r = runs(values, offs, window, k)
                 rows = pa.array(r["row"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["anchor"]), pa.array(r["content"]), part.column("doc").take(rows), part.column("id").cast(pa.int64()).take(rows), pa.array(r["start"].astype(np.int32)), pa.array(r["n"].astype(np.int32))],
-                    ["anchor", "content", "doc", "first", "start", "n"],
-                )
-
-    return keyed.transform(mapped, run, RUN)
+                low = offs[r["row"]] + r["start"]
+                high = low + r["n"] - 1 + window
+                digest = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(low.tolist(), high.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                out = [pa.array(r["anchor"]), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), part.column("doc").take(rows)]
+                out.append(part.column("id").cast(pa.int64()).take(rows) if pa.types.is_integer(part.schema.field("id").type) else pa.nulls(len(rows), pa.int64()))
+                out += [pa.array(r[c].astype(np.int32)) for c in ("start", "n", "place")]
+                names = ["anchor", "content", "second", "doc", "first", "start", "n", "place"]
+                if hashes:
+                    each = window_hashes(values, window)
+                    take = np.repeat(low, r["n"]) + np.arange(r["n"].sum()) - np.repeat(np.cumsum(r["n"]) - r["n"], r["n"])
+                    out.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, r["n"])).astype(np.int32)), pa.array(each[take])))
+                    names.append("hashes")
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return keyed.transform(mapped, run, RUN + HASHES * hashes)
 
 
 def by_document(keyed: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -68,6 +81,21 @@ def by_document(keyed: DataFrame, rows: DataFrame, how: str = "inner") -> DataFr
     return keyed.join(lists.hint("shuffle_hash"), "doc", how)
 
 
+#: A key of more rows is hot; there are at most HOT_KEYS of them.
+HOT, HOT_KEYS = 2000, 100_000
+
+
+def joined(rows: DataFrame, heads: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with heads (one row for each of some keys; column c: how many of rows have it), of which only hot keys are broadcast, so that no task gets a hot key's rows.
+
+    total: the number of rows, or a bound of it. Keys of more than total / HOT_KEYS rows are hot: at most HOT_KEYS.
+    """
+    least = max(HOT, total // HOT_KEYS)
+    hot = F.broadcast(heads.where(F.col("c") > least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(heads.where(F.col("c") <= least), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def columns(value, names: list[str]) -> dict[str, np.ndarray]:
     """A list<struct> value (or null) as arrays."""
     if value is None or not value.is_valid:

@@ -3,16 +3,19 @@
 A window is `window` consecutive words of one document. Every word goes that is
 covered by a window whose words also start earlier (in a document with a smaller
 id, or earlier in the same one). The index holds what earlier batches had, as
-immutable runs of rows sorted by fingerprint; a new batch's fingerprints are
-merge-joined with all runs, what matches is verified window by window, and the
-batch's own fingerprints become a further run. Runs of one size are compacted to
-one, which keeps the first occurrence of each fingerprint.
+immutable runs: tables in the shared folder, dealt into buckets by fingerprint and
+sorted by it within each. A new batch is dealt the same way and merge-joined with
+each run, bucket by bucket, so nothing of the history is moved but the rows that
+match, and no earlier text is read again. What matches is verified window by
+window, and the batch's own fingerprints become a further run. Runs of one size
+are compacted to one, which keeps the first occurrence of each fingerprint.
 
 Fingerprints are those of anchors (see anchors): an equal window has an equal
 anchor at an equal place, so the index has about an eighth of a row for each
-word. A run of windows whose whole content is in the index earlier is repeated.
-Anchors with several contents are verified: the windows of their first occurrences
-are hashed each by itself, and those that are not the first of their kind go.
+word. A row carries a hash of each of its windows. A run of windows whose whole
+content (a 128-bit digest of its words) is in the index earlier is repeated. Of
+anchors with several contents the windows are compared one by one, by anchor and
+window hash (128 bits together), and those that are not the first of their kind go.
 
 Ids must be integers. A null id comes before all others; rows with equal ids are
 ordered by a hash of id and text, and equal rows are one document. Null and
@@ -22,14 +25,16 @@ columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
+import functools
+import uuid
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import merged, window_hashes
-from .common import WORD_BYTES, dropped, mapped, saved, text_bytes
-from .repeats import by_document, columns, find_runs, with_key, word_elements
+from .anchors import merged
+from .common import WORD_BYTES, cleaned, delete, dropped, mapped, saved, shared_dir, text_bytes
+from .repeats import by_document, columns, find_runs, joined, with_key, word_elements
 
 #: Words of an anchor.
 ANCHOR = 5
@@ -37,39 +42,32 @@ ANCHOR = 5
 PLACE = ("first", "doc", "start")
 
 
-def window_rows(batches, window: int):
-    """A row for each window of the listed runs."""
-    for b in batches:
-        for i in range(b.num_rows):
-            one = b.slice(i, 1)
-            values, _ = word_elements(one)
-            r = columns(one.column("rows")[0], ["anchor", "start", "n"])
-            first, doc = one.column("id")[0].as_py(), one.column("doc")[0].as_py()
-            parts = [(np.full(n, a), window_hashes(values[s : s + n + window - 1], window), np.arange(s, s + n)) for a, s, n in zip(*(r[k].tolist() for k in ("anchor", "start", "n")), strict=True)]
-            if parts:
-                a, h, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.astype(np.int64)), pa.array(h), pa.array(np.full(len(a), first, np.int64)), pa.array(np.full(len(a), doc, np.int64)), pa.array(s.astype(np.int32))],
-                    ["anchor", "hash", "first", "doc", "start"],
-                )
-
-
 class WindowIndex:
-    """The index. Its runs lie in the shared folder; `close` deletes them."""
+    """The index. Its runs lie in the shared folder, and are known to the session's catalog; `close` deletes them. buckets: into how many each run is dealt, by default as a shuffle is."""
 
-    def __init__(self, window: int = 20, k: int = ANCHOR, fanout: int = 4):
-        self.window, self.k, self.fanout = window, k, fanout
-        self.levels: list[list[DataFrame]] = []
-        self.history: DataFrame | None = None
+    def __init__(self, spark: SparkSession, window: int = 20, k: int = ANCHOR, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.window, self.k, self.fanout = spark, window, k, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[tuple[str, str]]] = []
+        self.compactions = 0
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    @staticmethod
-    def sorted_run(rows: DataFrame) -> DataFrame:
-        """The first occurrence of each fingerprint, as a run sorted by anchor."""
-        firsts = rows.groupBy("anchor", "content").agg(F.min(F.struct(*PLACE, "n")).alias("at"))
-        return saved(firsts.select("anchor", "content", "at.*").repartition("anchor").sortWithinPartitions("anchor"))
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
+
+    def sorted_run(self, rows: DataFrame) -> tuple[str, str]:
+        """The first occurrence of each fingerprint as a run: (table, folder)."""
+        firsts = rows.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE, "n", "hashes")).alias("at")).select("anchor", "content", "second", "at.*")
+        name = f"weftline_run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark).rstrip('/')}/weftline-{name}"
+        dealt = firsts.repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
+        with cleaned(self.spark):
+            dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).format("parquet").saveAsTable(name)
+        return name, path
+
+    def forget(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"drop table if exists {name}")
+            delete(self.spark, path)
 
     def remember(self, fresh: DataFrame, level: int = 0) -> None:
         """Adds a run; a full level becomes one run of the next."""
@@ -78,53 +76,52 @@ class WindowIndex:
         self.levels[level].append(self.sorted_run(fresh))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            both = old[0]
-            for r in old[1:]:
-                both = both.unionByName(r)
+            # Read as plain files: a union of bucketed scans may keep its buckets apart after planning has counted on them.
+            both = functools.reduce(DataFrame.unionByName, [self.spark.read.parquet(path) for _, path in old])
             self.remember(both, level + 1)
-            dropped(*old)
+            self.compactions += 1
+            self.forget(old)
 
     def add(self, keyed: DataFrame, more: bool = True) -> DataFrame:
         """doc, start, n: runs of windows of a new batch (id, doc, text) that start earlier. more: whether another batch will come."""
-        fresh = saved(find_runs(keyed, word_elements, self.window, self.k))
+        fresh = saved(find_runs(keyed, word_elements, self.window, self.k, True).drop("place"))
+        asked = fresh.select("anchor").distinct()
         every = fresh.withColumn("new", F.lit(True))
         for r in self.runs():
-            every = every.unionByName(r.withColumn("new", F.lit(False)))
-        of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("new").alias("some"), F.min("content").alias("low"), F.max("content").alias("high"))
-        # Written first, so that the join's shuffles are its own and a hot anchor's can be split.
-        of = saved(of.where("c > 1 and some"))
-        some = saved(every.join(of, "anchor").select(*every.columns, (F.col("low") != F.col("high")).alias("mixed")))
+            # A run lies as the join wants it: only the new batch's anchors are dealt out and sorted.
+            every = every.unionByName(r.join(asked.hint("merge"), "anchor", "left_semi").withColumn("new", F.lit(False)))
+        every = saved(every) if self.runs() else every
+        total = every.count()
+        of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("second").alias("low2"), F.max("second").alias("high2"))
+        of = saved(of.where("c > 1").select("anchor", "c", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed")))
+        some = saved(joined(every, of, ["anchor"], total).drop("c"))
+        contents = saved(some.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE)).alias("at"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c")))
+        copies = joined(some.where("new"), contents.where("c > 1").select("anchor", "content", "second", "at", "c"), ["anchor", "content", "second"], total)
+        copies = copies.where(F.struct(*PLACE) > F.col("at")).select("doc", "start", "n")
+        # Of each content of a mixed anchor the windows of its first occurrence. (Equal rows are one document, and have one place.)
+        first = contents.where("mixed").select("anchor", "content", "second", F.col("at.first").alias("first"), F.col("at.doc").alias("doc"), F.col("at.start").alias("start"))
+        windows = some.where("mixed").join(first.hint("merge"), ["anchor", "content", "second", "first", "doc", "start"], "left_semi").select("anchor", "first", "doc", "start", "new", F.posexplode("hashes").alias("k", "hash"))
+        windows = saved(windows.select("anchor", "hash", "first", "doc", (F.col("start") + F.col("k")).alias("start"), "new"))
+        heads = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("at")).where("c > 1")
+        heads = saved(heads)
+        edges = joined(windows.where("new"), heads, ["anchor", "hash"], total * self.window).where(F.struct(*PLACE) > F.col("at")).select("doc", "start", F.lit(1).alias("n"))
+        out = saved(copies.unionByName(edges))
+        dropped(of, some, contents, windows, heads, *([every] if self.runs() else []))
         if more:
             self.remember(fresh)
         dropped(fresh)
-        contents = saved(some.groupBy("anchor", "content").agg(F.min(F.struct(*PLACE, "n")).alias("at"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c")))
-        copies = some.where("new").join(contents.where("c > 1").select("anchor", "content", "at"), ["anchor", "content"])
-        later = F.struct(*PLACE) > F.struct("at.first", "at.doc", "at.start")
-        copies = copies.where(later).select("doc", "start", "n")
-        known = keyed if self.history is None else self.history.unionByName(keyed)
-        reps = contents.where("mixed").select("anchor", "at.doc", "at.start", "at.n")
-        ours = keyed.select("doc", F.lit(True).alias("new")).distinct()
-        size = self.window
-        listed = by_document(known, reps).select("id", "doc", "text", "rows")
-        windows = saved(listed.transform(mapped, lambda it: window_rows(it, size), "anchor long, hash long, first long, doc long, start int"))
-        # Equal rows are one document: their windows have one place.
-        heads = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("at")).where("c > 1")
-        edges = windows.join(heads, ["anchor", "hash"]).where(F.struct(*PLACE) > F.col("at")).select("doc", "start", F.lit(1).alias("n"))
-        if self.runs():
-            edges = edges.join(ours, "doc", "left_semi")
-        self.history = known
-        return copies.unionByName(edges)
+        return out
 
     def close(self) -> None:
-        dropped(*self.runs())
+        self.forget([r for level in self.levels for r in level])
         self.levels = []
 
 
-def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, batches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, removed (array of [start, end) word spans), kept (the other words, joined by one space) of each row. Rows go through the index in `batches` ranges of ids."""
     keyed = with_key(docs, id_col, text_col).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
     cuts = sorted(set(docs.select(docs[id_col].cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.02))) if batches > 1 else []
-    index = WindowIndex(window)
+    index = WindowIndex(docs.sparkSession, window)
     parts = []
     bounds = [None, *cuts, None]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -133,7 +130,7 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str
             part = part.where(F.col("id") > low)
         if high is not None:
             part = part.where(F.col("id") <= high)
-        parts.append(saved(index.add(part, more=high is not None)))
+        parts.append(index.add(part, more=high is not None))
     index.close()
     spans = parts[0]
     for p in parts[1:]:
