@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -70,6 +70,23 @@ def test_simhash_links_equal_brute_force(docs, rows, cap, monkeypatch):
         assert len({c for _, c in got.values()}) < len(fps) - 3
 
 
+@pytest.mark.parametrize("agree", [2, 3, 5])
+def test_every_close_pair_shares_a_shard(spark, agree):
+    assert [simhash.agreeing(n, 4) for n in (10, 1 << 26, 1 << 27, 1 << 33, 1 << 40)] == [2, 2, 3, 4, 5]
+    rng = np.random.default_rng(agree)
+    rows = []
+    for k in range(60):
+        x = int(rng.integers(0, 2**63))
+        y = x
+        for b in rng.choice(64, 4, replace=False):
+            y ^= 1 << int(b)
+        rows += [(2 * k, x.to_bytes(8, "big")), (2 * k + 1, y.to_bytes(8, "big"))]
+    keys = defaultdict(set)
+    for r in simhash.exact_shards(spark.createDataFrame(rows, "node long, fp binary"), 4, agree).collect():
+        keys[r.node].add(r.key)
+    assert all(keys[2 * k] & keys[2 * k + 1] for k in range(60))
+
+
 def test_near_copies_keep_one_of_each(docs, rows, none):
     shingles = {}
     for i, t, _ in rows:

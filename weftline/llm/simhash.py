@@ -11,8 +11,9 @@ dealt out over the cluster rather than broadcast, as fingerprints grow with the
 data; a hot shard is cut into blocks that all its members ask.
 
 `exact_shards` shares a shard whenever at most `radius` bits differ: the bits are
-cut into radius + 2 bands, of which two must agree in such a pair, so each pair
-of bands is a key. `set_keys` serves wide radii, for which no such cut is
+cut into radius + k bands, of which k must agree in such a pair, so each k bands
+are a key. k grows with the number of fingerprints, from 2 (21 bits of a radius of
+4), so that shards of unlike fingerprints stay small. `set_keys` serves wide radii, for which no such cut is
 selective: a key is made of the least hashes of the shingle set under some
 permutations, which two sets share with their Jaccard similarity. A pair at the
 threshold shares a key with probability 0.995, whatever the number of documents.
@@ -164,10 +165,15 @@ def bands(bits: int, n: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def exact_shards(nodes: DataFrame, radius: int) -> DataFrame:
-    """node, fp, key: 64-bit fingerprints under each pair of radius + 2 bands."""
+def agreeing(n: int, radius: int) -> int:
+    """How many bands a key has: the fewest whose bits number n fingerprints to some tens a shard. At most 5, as keys grow with the binomial coefficient."""
+    return next((k for k in range(2, 5) if 64 * k // (radius + k) >= math.log2(max(n, 2)) - 5), 5)
+
+
+def exact_shards(nodes: DataFrame, radius: int, agree: int = 2) -> DataFrame:
+    """node, fp, key: 64-bit fingerprints under each choice of `agree` of radius + agree bands."""
     value = F.conv(F.hex("fp"), 16, -10).cast("long")
-    masks = [sum(((1 << (b - a)) - 1) << a for a, b in pair) for pair in combinations(bands(64, radius + 2), 2)]
+    masks = [sum(((1 << (b - a)) - 1) << a for a, b in some) for some in combinations(bands(64, radius + agree), agree)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("_v").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
     return nodes.withColumn("_v", value).select("node", "fp", F.explode(keys).alias("key"))
@@ -189,8 +195,9 @@ def set_keys(h: np.ndarray, similarity: float, recall: float, width: int) -> np.
 
 def classes(fps: DataFrame, radius: int) -> DataFrame:
     """id, fp, component_id (the smallest id reachable over links of at most `radius` bits) of saved rows id, fp."""
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("fp"))
-    shards = exact_shards(nodes.select("node", "fp"), radius)
+    # The fingerprint itself is the node's name.
+    nodes = saved(fps.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")))
+    shards = exact_shards(nodes.select("node", "fp"), radius, agreeing(nodes.count(), radius))
     links = blocked(shards, "key", "node", CAP).transform(mapped, lambda it: shard_links(it, radius), "a long, b long")
     parts = components(links)
     of = nodes.join(parts, "node", "left").select("fp", "first", F.coalesce("component", "node").alias("part"))

@@ -45,7 +45,7 @@ PLACE = ("first", "doc", "start")
 class WindowIndex:
     """The index. Its runs lie in the shared folder, and are known to the session's catalog; `close` deletes them. buckets: into how many each run is dealt, by default as a shuffle is."""
 
-    def __init__(self, spark: SparkSession, window: int = 20, k: int = ANCHOR, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = 20, k: int = ANCHOR, fanout: int = 2, buckets: int | None = None):
         self.spark, self.window, self.k, self.fanout = spark, window, k, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
@@ -60,8 +60,10 @@ class WindowIndex:
         name = f"weftline_run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark).rstrip('/')}/weftline-{name}"
         dealt = firsts.repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+        self.spark.sql(f"create table {name} ({columns}) using parquet clustered by (anchor) sorted by (anchor) into {self.buckets} buckets location '{path}'")
         with cleaned(self.spark):
-            dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).format("parquet").saveAsTable(name)
+            dealt.write.insertInto(name)
         return name, path
 
     def forget(self, runs: list[tuple[str, str]]) -> None:
@@ -94,7 +96,7 @@ class WindowIndex:
         total = every.count()
         of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("second").alias("low2"), F.max("second").alias("high2"))
         of = saved(of.where("c > 1").select("anchor", "c", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed")))
-        some = saved(joined(every, of, ["anchor"], total).drop("c"))
+        some = saved(joined(every, of, ["anchor"], total).drop("c").withColumn("hashes", F.expr("if(mixed, hashes, null)")))
         contents = saved(some.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE)).alias("at"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c")))
         copies = joined(some.where("new"), contents.where("c > 1").select("anchor", "content", "second", "at", "c"), ["anchor", "content", "second"], total)
         copies = copies.where(F.struct(*PLACE) > F.col("at")).select("doc", "start", "n")
@@ -117,7 +119,7 @@ class WindowIndex:
         self.levels = []
 
 
-def deduplicate(docs: DataFrame, window: int = 20, batches: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, removed (array of [start, end) word spans), kept (the other words, joined by one space) of each row. Rows go through the index in `batches` ranges of ids."""
     keyed = with_key(docs, id_col, text_col).withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
     cuts = sorted(set(docs.select(docs[id_col].cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.02))) if batches > 1 else []
