@@ -10,14 +10,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE_HASH, runs, window_hashes
+from .anchors import BYTE_HASH, runs
 from .common import WORD_BYTES, mapped, pieces_of, text_bytes
 
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 20
 
 RUN = "anchor long, content long, second long, doc long, first long, start int, n int, place int"
-HASHES = ", hashes array<long>"
 
 
 def doc_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -47,8 +46,8 @@ def word_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(hashes, np.uint64), np.array(counts, np.int64)
 
 
-def find_runs(keyed: DataFrame, elements, window: int, k: int, hashes: bool = False) -> DataFrame:
-    """RUN rows of each document; first orders documents (the id). content and second: a 128-bit digest of the run's elements. place: where its anchor starts, from the run's start. hashes: of each window too."""
+def find_runs(keyed: DataFrame, elements, window: int, k: int) -> DataFrame:
+    """RUN rows of each document; first orders documents (the id). content and second: a 128-bit digest of the run's elements. place: where its anchor starts, from the run's start."""
 
     def run(batches):
         for b in batches:
@@ -64,14 +63,9 @@ def find_runs(keyed: DataFrame, elements, window: int, k: int, hashes: bool = Fa
                 out.append(part.column("id").cast(pa.int64()).take(rows) if pa.types.is_integer(part.schema.field("id").type) else pa.nulls(len(rows), pa.int64()))
                 out += [pa.array(r[c].astype(np.int32)) for c in ("start", "n", "place")]
                 names = ["anchor", "content", "second", "doc", "first", "start", "n", "place"]
-                if hashes:
-                    each = window_hashes(values, window)
-                    take = np.repeat(low, r["n"]) + np.arange(r["n"].sum()) - np.repeat(np.cumsum(r["n"]) - r["n"], r["n"])
-                    out.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, r["n"])).astype(np.int32)), pa.array(each[take])))
-                    names.append("hashes")
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return keyed.transform(mapped, run, RUN + HASHES * hashes)
+    return keyed.transform(mapped, run, RUN)
 
 
 def by_document(keyed: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:

@@ -5,17 +5,18 @@ covered by a window whose words also start earlier (in a document with a smaller
 id, or earlier in the same one). The index holds what earlier batches had, as
 immutable runs: tables in the shared folder, dealt into buckets by fingerprint and
 sorted by it within each. A new batch is dealt the same way and merge-joined with
-each run, bucket by bucket, so nothing of the history is moved but the rows that
-match, and no earlier text is read again. What matches is verified window by
-window, and the batch's own fingerprints become a further run. Runs of one size
-are compacted to one, which keeps the first occurrence of each fingerprint.
+each run, bucket by bucket, so nothing of the index is moved but the rows that
+match. What matches is verified window by window, from the texts again (an index
+with the words or hashes of all windows would be larger than the texts), and the
+batch's own fingerprints become a further run. Runs of one size are compacted to
+one, which keeps the first occurrence of each fingerprint.
 
 Fingerprints are those of anchors (see anchors): an equal window has an equal
 anchor at an equal place, so the index has about an eighth of a row for each
-word. A row carries a hash of each of its windows. A run of windows whose whole
-content (a 128-bit digest of its words) is in the index earlier is repeated. Of
-anchors with several contents the windows are compared one by one, by anchor and
-window hash (128 bits together), and those that are not the first of their kind go.
+word. A run of windows whose whole content (a 128-bit digest of its words) is in the
+index earlier is repeated. Of anchors with several contents the windows of first
+occurrences are compared one by one, by anchor and window hash (128 bits together),
+and those that are not the first of their kind go.
 
 Ids must be integers. A null id comes before all others; rows with equal ids are
 ordered by a hash of id and text, and equal rows are one document. Null and
@@ -28,11 +29,12 @@ from __future__ import annotations
 import functools
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import merged
+from .anchors import merged, window_hashes
 from .common import WORD_BYTES, cleaned, delete, dropped, mapped, saved, shared_dir, text_bytes
 from .repeats import by_document, columns, find_runs, joined, with_key, word_elements
 
@@ -42,6 +44,22 @@ ANCHOR = 5
 PLACE = ("first", "doc", "start")
 
 
+def window_rows(batches, window: int):
+    """A row for each window of the listed runs."""
+    for b in batches:
+        for i in range(b.num_rows):
+            one = b.slice(i, 1)
+            values, _ = word_elements(one)
+            r = columns(one.column("rows")[0], ["anchor", "start", "n", "new"])
+            n = r["n"]
+            if not n.sum():
+                continue
+            start = np.repeat(r["start"], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = window_hashes(values, window)[start]
+            place = [pa.array(np.full(len(start), one.column(c)[0].as_py(), np.int64)) for c in ("id", "doc")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r["anchor"], n)), pa.array(each), *place, pa.array(start.astype(np.int32)), pa.array(np.repeat(r["new"], n))], ["anchor", "hash", "first", "doc", "start", "new"])
+
+
 class WindowIndex:
     """The index. Its runs lie in the shared folder, and are known to the session's catalog; `close` deletes them. buckets: into how many each run is dealt, by default as a shuffle is."""
 
@@ -49,6 +67,7 @@ class WindowIndex:
         self.spark, self.window, self.k, self.fanout = spark, window, k, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = []
+        self.batches: list[DataFrame] = []
         self.compactions = 0
 
     def runs(self) -> list[DataFrame]:
@@ -56,7 +75,7 @@ class WindowIndex:
 
     def sorted_run(self, rows: DataFrame) -> tuple[str, str]:
         """The first occurrence of each fingerprint as a run: (table, folder)."""
-        firsts = rows.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE, "n", "hashes")).alias("at")).select("anchor", "content", "second", "at.*")
+        firsts = rows.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE, "n")).alias("at")).select("anchor", "content", "second", "at.*")
         name = f"weftline_run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark).rstrip('/')}/weftline-{name}"
         dealt = firsts.repartition(self.buckets, "anchor").sortWithinPartitions("anchor")
@@ -86,7 +105,7 @@ class WindowIndex:
 
     def add(self, keyed: DataFrame, more: bool = True) -> DataFrame:
         """doc, start, n: runs of windows of a new batch (id, doc, text) that start earlier. more: whether another batch will come."""
-        fresh = saved(find_runs(keyed, word_elements, self.window, self.k, True).drop("place"))
+        fresh = saved(find_runs(keyed, word_elements, self.window, self.k).drop("place"))
         asked = fresh.select("anchor").distinct()
         every = fresh.withColumn("new", F.lit(True))
         for r in self.runs():
@@ -96,14 +115,15 @@ class WindowIndex:
         total = every.count()
         of = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("second").alias("low2"), F.max("second").alias("high2"))
         of = saved(of.where("c > 1").select("anchor", "c", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))).alias("mixed")))
-        some = saved(joined(every, of, ["anchor"], total).drop("c").withColumn("hashes", F.expr("if(mixed, hashes, null)")))
-        contents = saved(some.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE)).alias("at"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c")))
+        some = saved(joined(every, of, ["anchor"], total).drop("c"))
+        contents = saved(some.groupBy("anchor", "content", "second").agg(F.min(F.struct(*PLACE, "n", "new")).alias("at"), F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c")))
         copies = joined(some.where("new"), contents.where("c > 1").select("anchor", "content", "second", "at", "c"), ["anchor", "content", "second"], total)
-        copies = copies.where(F.struct(*PLACE) > F.col("at")).select("doc", "start", "n")
+        copies = copies.where(F.struct(*PLACE) > F.struct(*(f"at.{c}" for c in PLACE))).select("doc", "start", "n")
         # Of each content of a mixed anchor the windows of its first occurrence. (Equal rows are one document, and have one place.)
-        first = contents.where("mixed").select("anchor", "content", "second", F.col("at.first").alias("first"), F.col("at.doc").alias("doc"), F.col("at.start").alias("start"))
-        windows = some.where("mixed").join(first.hint("merge"), ["anchor", "content", "second", "first", "doc", "start"], "left_semi").select("anchor", "first", "doc", "start", "new", F.posexplode("hashes").alias("k", "hash"))
-        windows = saved(windows.select("anchor", "hash", "first", "doc", (F.col("start") + F.col("k")).alias("start"), "new"))
+        reps = contents.where("mixed").select("anchor", "at.doc", "at.start", "at.n", "at.new")
+        known = functools.reduce(DataFrame.unionByName, [*self.batches, keyed])
+        size = self.window
+        windows = saved(by_document(known, reps).select("id", "doc", "text", "rows").transform(mapped, lambda it: window_rows(it, size), "anchor long, hash long, first long, doc long, start int, new boolean"))
         heads = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("at")).where("c > 1")
         heads = saved(heads)
         edges = joined(windows.where("new"), heads, ["anchor", "hash"], total * self.window).where(F.struct(*PLACE) > F.col("at")).select("doc", "start", F.lit(1).alias("n"))
@@ -111,6 +131,7 @@ class WindowIndex:
         dropped(of, some, contents, windows, heads, *([every] if self.runs() else []))
         if more:
             self.remember(fresh)
+            self.batches.append(keyed)
         dropped(fresh)
         return out
 
