@@ -67,17 +67,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned numbers, each array as planes of bytes, the lowest first, without planes of zeros at the end."""
+    """Unsigned numbers, each array as planes of bytes, the lowest first, without planes of zeros at the end; all compressed."""
     head, body = [], []
     for a in arrays:
         a = np.ascontiguousarray(a, "<u8")
         width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
         head += [len(a), width]
         body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), 8)[:, :width].T).tobytes())
-    return b"".join([np.array([len(arrays), *head], "<i8").tobytes(), *body])
+    plain = b"".join([np.array([len(arrays), *head], "<i8").tobytes(), *body])
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    data = bytes(data)
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     m = int(np.frombuffer(data, "<i8", 1)[0])
     head = np.frombuffer(data, "<i8", 2 * m, 8).tolist()
     out, at = [], 8 + 16 * m
@@ -100,9 +103,15 @@ def chunk_rows(batches, size: int, ids_type: pa.DataType):
 
     def row():
         words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        # Frequent words get small numbers, which pack well.
+        flat = np.frombuffer(tokens, np.uint32)
+        by = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[by] = np.arange(len(words), dtype=np.uint32)
+        words = words[by]
         n = sum(sizes)
         columns = [pa.array([(task << 32) + number]), pa.array([ids], pa.list_(ids_type)), pa.array([learned], pa.list_(pa.bool_())), pa.array([np.frombuffer(sizes, np.int32)], pa.list_(pa.int32()))]
-        packed = [pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([pack(np.frombuffer(tokens, np.uint32))], pa.binary()), pa.array([n], pa.int64())]
+        packed = [pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([pack(rank[flat])], pa.binary()), pa.array([n], pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, *packed], ["chunk", "ids", "learned", "sizes", "words", "tokens", "n"])
 
     for b in batches:
