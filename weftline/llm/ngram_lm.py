@@ -209,8 +209,9 @@ def arranged(chunk: Chunk, k: int, ids: np.ndarray | None, load: np.ndarray | No
     else:
         bucket = mix(chunk.words) % np.uint64(buckets)
     # N-grams come sorted by history, and stay so within a bucket.
+    bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def runs_of(x: np.ndarray) -> np.ndarray:
@@ -219,12 +220,12 @@ def runs_of(x: np.ndarray) -> np.ndarray:
 
 
 def asks(chunk: Chunk, k: int, ids: np.ndarray | None, load: np.ndarray | None, buckets: int, split: int) -> pa.Table:
-    """A row for each bucket. Of words: hashes, counts in training and in all. Of longer n-grams: each history's number of followers and of buckets; the followers, counts in training and in all; the words of each history."""
+    """A row for each bucket. Of words: hashes, counts in training and besides. Of longer n-grams: each history's number of followers and of buckets; the followers, counts in training and besides; the words of each history."""
     order, cuts = arranged(chunk, k, ids, load, buckets, split)
     where, payload = np.flatnonzero(np.diff(cuts)), []
     for b in where:
         at = order[cuts[b] : cuts[b + 1]]
-        counts = chunk.trained[k][at], chunk.occur[k][at]
+        counts = chunk.trained[k][at], chunk.occur[k][at] - chunk.trained[k][at]
         if not k:
             payload.append(pack(chunk.words[at], *counts))
             continue
@@ -245,44 +246,60 @@ def table_of(k: int, bucket: int, rows: list[dict]) -> pa.Table:
 
 
 def number_words(table: pa.Table, buckets: int) -> pa.Table:
-    """One bucket's answers about words: counts in training and in all, and a number, small for frequent words, that only this word has. A further row has the sums of training."""
+    """One bucket's answers about words: counts in training and besides, and a number, small for frequent words, that only this word has. A further row has the sums of training."""
     asked = [unpack(x) for x in table.column("payload").to_pylist()]
     words, of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    trained, occur = (np.bincount(of, np.concatenate([a[i] for a in asked]).astype(np.float64), len(words)).astype(np.int64) for i in (1, 2))
+    trained, other = (np.bincount(of, np.concatenate([a[i] for a in asked]).astype(np.float64), len(words)).astype(np.int64) for i in (1, 2))
     bucket = table.column("bucket")[0].as_py()
     ids = np.empty(len(words), np.int64)
-    ids[np.argsort(-occur, kind="stable")] = np.arange(len(words)) * buckets + bucket
+    ids[np.argsort(-(trained + other), kind="stable")] = np.arange(len(words)) * buckets + bucket
     cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
-    rows = [{"chunk": c, "payload": pack(trained[of[x:y]], occur[of[x:y]], ids[of[x:y]])} for c, x, y in zip(table.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
+    rows = [{"chunk": c, "payload": pack(trained[of[x:y]], other[of[x:y]], ids[of[x:y]])} for c, x, y in zip(table.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True)]
     begin = words == BEGIN
     rows.append({"tokens": int(trained[~begin].sum()), "kinds": int((trained[~begin] > 0).sum()), "texts": int(trained[begin].sum())})
     return table_of(0, bucket, rows)
 
 
+def sorted_by(columns_: np.ndarray, bits: int) -> np.ndarray:
+    """An order by numbers of at most `bits` bits, the last row first."""
+    if bits * len(columns_) > 64:
+        return np.lexsort(columns_)
+    key = np.zeros(columns_.shape[1], np.uint64)
+    for c in columns_[::-1]:
+        key = (key << np.uint64(bits)) | c
+    return np.argsort(key)
+
+
+def numbered(columns_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each distinct column, and one place of each number."""
+    order = sorted_by(columns_, bits)
+    same = (columns_[:, order[1:]] == columns_[:, order[:-1]]).all(axis=0)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(np.append(True, ~same)) - 1
+    return of, order[np.flatnonzero(np.append(True, ~same))]
+
+
 def add_up(table: pa.Table, k: int) -> pa.Table:
-    """One bucket's answers about n-grams of k + 1 tokens: counts in training and in all, and of each history its kinds of followers in training. A further row for each history dealt over several buckets has its followers in this one."""
+    """One bucket's answers about n-grams of k + 1 tokens: counts in training and besides, and of each history its kinds of followers in training. A further row for each history dealt over several buckets has its followers in this one."""
     asked = [unpack(x) for x in table.column("payload").to_pylist()]
     column = lambda i: np.concatenate([a[i] for a in asked])
     spelled = np.stack([column(i) for i in range(5, 5 + k)])
-    order = np.lexsort(spelled)
-    same = (spelled[:, order[1:]] == spelled[:, order[:-1]]).all(axis=0)
-    h_of = np.empty(len(order), np.int64)
-    h_of[order] = np.cumsum(np.append(True, ~same)) - 1
-    n = int(h_of.max()) + 1
-    some = np.empty(n, np.int64)
-    some[h_of] = np.arange(len(h_of))
-    p_h, p_w = np.repeat(h_of, column(0).astype(np.int64)), column(2)
-    order = np.lexsort((p_w, p_h))
+    p_w = column(2)
+    bits = max(int(spelled.max()), int(p_w.max())).bit_length()
+    h_of, some = numbered(spelled, bits)
+    n = len(some)
+    p_h = np.repeat(h_of, column(0).astype(np.int64))
+    order = sorted_by(np.stack([p_w, p_h.astype(np.uint64)]), max(bits, n.bit_length()))
     new = np.append(True, (p_h[order][1:] != p_h[order][:-1]) | (p_w[order][1:] != p_w[order][:-1]))
     at = np.flatnonzero(new)
-    trained, occur = (np.add.reduceat(column(i).astype(np.int64)[order], at) for i in (3, 4))
+    trained, other = (np.add.reduceat(column(i).astype(np.int64)[order], at) for i in (3, 4))
     followers = np.bincount(p_h[order][at], trained > 0, n).astype(np.int64)
     p_of = np.empty(len(p_w), np.int64)
     p_of[order] = np.cumsum(new) - 1
     rows, i, j = [], 0, 0
     for chunk, a in zip(table.column("chunk").to_pylist(), asked, strict=True):
         own = p_of[j : j + len(a[2])]
-        rows.append({"chunk": chunk, "payload": pack(trained[own], occur[own], followers[h_of[i : i + len(a[0])]])})
+        rows.append({"chunk": chunk, "payload": pack(trained[own], other[own], followers[h_of[i : i + len(a[0])]])})
         i, j = i + len(a[0]), j + len(a[2])
     for h in np.flatnonzero(column(1)[some] > 1):
         rows.append({"name": " ".join(map(str, spelled[:, some[h]])), "followers": int(followers[h])})
@@ -290,7 +307,7 @@ def add_up(table: pa.Table, k: int) -> pa.Table:
 
 
 class Counts:
-    """What a chunk was answered: the numbers of its words; of each n-gram of its own its counts in training and in all, of each history its kinds of followers."""
+    """What a chunk was answered: the numbers of its words; of each n-gram of its own its counts in training and besides, of each history its kinds of followers."""
 
     def __init__(self, chunk: Chunk, answers: pa.Table, orders: int, buckets: int, split: int, spread: list[dict[str, int]]):
         self.trained, self.load, self.followers, self.ids = [], [], [None], None
@@ -305,7 +322,7 @@ class Counts:
                 if len(order):
                     c[order] = np.concatenate([g[i] for g in got]).astype(np.int64)
             self.trained.append(columns[0])
-            self.load.append(columns[1])
+            self.load.append(columns[0] + columns[1])
             if not k:
                 self.ids = columns[2].astype(np.uint64)
                 continue
