@@ -57,6 +57,8 @@ MOST_SPLIT = 1 << 20
 
 #: A chunk; its tokens are numbers of its words. What a chunk asks of a bucket.
 CHUNK_ROW = "chunk long, ids array<{kind}>, learned array<boolean>, sizes array<int>, words binary, tokens binary, n long"
+#: A chunk whose words have been answered: their numbers and counts stand for their hashes.
+NUMBERED_ROW = "chunk long, ids array<{kind}>, learned array<boolean>, sizes array<int>, numbers binary, tokens binary"
 CELL = "chunk long, bucket int, payload binary"
 
 
@@ -143,8 +145,11 @@ class Chunk:
         n = int(self.sizes.sum())
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.words = np.concatenate([np.frombuffer(value["words"].as_buffer(), "<u8"), np.array([END, BEGIN], np.uint64)])
-        end = len(self.words) - 2
+        #: Numbers and counts in training and besides of the words, once they are known; before that their hashes.
+        self.known = unpack(value["numbers"].as_buffer()) if "numbers" in value else None
+        self.words = None if self.known else np.concatenate([np.frombuffer(value["words"].as_buffer(), "<u8"), np.array([END, BEGIN], np.uint64)])
+        width = len(self.known[0] if self.known else self.words)
+        end = width - 2
         self.token = np.full(n, end, np.int64)
         inside = np.ones(n, bool)
         inside[self.ends - 1] = False
@@ -152,13 +157,12 @@ class Chunk:
         train = np.repeat(learned, self.sizes)
         # Order 1: the words themselves. grams[k]: each position's n-gram (-1: its history goes beyond the text).
         self.grams: list[np.ndarray] = [self.token]
-        self.histories: list[np.ndarray] = [np.zeros(len(self.words), np.int64)]
-        self.last = [np.arange(len(self.words))]
-        self.trained = [np.bincount(self.token[train], minlength=len(self.words))]
+        self.histories: list[np.ndarray] = [np.zeros(width, np.int64)]
+        self.last = [np.arange(width)]
+        self.trained = [np.bincount(self.token[train], minlength=width)]
         self.trained[0][-1] = int(learned.sum())
-        self.occur = [np.bincount(self.token, minlength=len(self.words))]
+        self.occur = [np.bincount(self.token, minlength=width)]
         self.occur[0][-1] = len(self.sizes)
-        width = len(self.words)
         # What stands before each position: the shorter n-gram that ends there.
         before = np.empty(n, np.int64)
         before[1:] = self.token[:-1]
@@ -306,6 +310,9 @@ def add_up(table: pa.Table, k: int) -> pa.Table:
     return table_of(k, table.column("bucket")[0].as_py(), rows)
 
 
+NO_ANSWERS = pa.table({"k": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+
+
 class Counts:
     """What a chunk was answered: the numbers of its words; of each n-gram of its own its counts in training and besides, of each history its kinds of followers."""
 
@@ -313,6 +320,11 @@ class Counts:
         self.trained, self.load, self.followers, self.ids = [], [], [None], None
         level, bucket, payload = answers.column("k").to_numpy(), answers.column("bucket").to_numpy(), answers.column("payload").to_pylist()
         for k in range(orders):
+            if not k and chunk.known:
+                self.ids = chunk.known[0]
+                self.trained.append(chunk.known[1].astype(np.int64))
+                self.load.append(self.trained[0] + chunk.known[2].astype(np.int64))
+                continue
             rows = np.flatnonzero(level == k)
             got = [unpack(payload[r]) for r in rows[np.argsort(bucket[rows])]]
             load = self.load[k - 1] if k else None
@@ -368,7 +380,7 @@ class Automaton:
         out = np.empty(len(chunk.sizes))
         nan = np.append(np.nan, 0)[:1]
         arc = [np.append(w, nan)[g] for w, g in zip(self.arc, chunk.grams, strict=True)]
-        begin = len(chunk.words) - 1
+        begin = len(chunk.trained[0]) - 1
         fail: list = [None]
         for k in range(1, top + 1):
             # The failure weight of the state that is left at a position: its history ends just before.
@@ -424,15 +436,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def adder(k: int):
         return (lambda t: add_up(t, k)) if k else (lambda t: number_words(t, buckets))
 
+    def renumbered(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows:
+            counts = Counts(Chunk(left, 1), right, 1, buckets, split, [])
+            numbers = [pack(counts.ids, counts.trained[0], counts.load[0] - counts.trained[0])]
+        else:
+            numbers = []
+        columns_ = {c: left.column(c) for c in ("chunk", "ids", "learned", "sizes")}
+        return pa.table({**columns_, "numbers": pa.array(numbers, pa.binary()), "tokens": left.column("tokens")})
+
     shared = None
     for k in range(order):
         ask = asker(k, shared)
-        if k:
+        if k > 1:
             asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(ask, CELL)
         else:
-            asked = chunks.transform(mapped, lambda it, ask=ask: (x for b in it for i in range(b.num_rows) for x in ask(pa.Table.from_batches([b.slice(i, 1)]), None).to_batches()), CELL)
+            # What words and bigrams are asked needs nothing but the chunk.
+            asked = chunks.transform(mapped, lambda it, ask=ask: (x for b in it for i in range(b.num_rows) for x in ask(pa.Table.from_batches([b.slice(i, 1)]), NO_ANSWERS).to_batches()), CELL)
         got = saved(asked.groupBy("bucket").applyInArrow(adder(k), ANSWERS))
-        parts.append(got)
+        if k:
+            parts.append(got)
         if k == 0:
             sums = got.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "texts"))).first()
             totals = tuple(int(x) for x in sums)
@@ -443,7 +466,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(list(spread))
         now = got.where("chunk is not null").select("k", "chunk", "bucket", "payload")
-        answers = now if answers is None else answers.unionByName(now)
+        if k == 0:
+            packed = saved(chunks.groupBy("chunk").cogroup(now.groupBy("chunk")).applyInArrow(renumbered, NUMBERED_ROW.format(kind=kind)))
+            dropped(chunks, got)
+            chunks = packed
+        else:
+            answers = now if answers is None else answers.unionByName(now)
 
     names = ["id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -459,6 +487,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         return pa.table({c: v if isinstance(v, pa.Array) else pa.array(v, t) for c, v, t in zip(names, values, kinds, strict=True)})
 
     schema = f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if answers is None:  # the root alone
+        answers = chunks.limit(0).selectExpr("0 as k", "chunk", "0 as bucket", "tokens as payload")
     out = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(read, schema))
     dropped(chunks, *parts)
     return out.withColumnRenamed("id", id_col)
