@@ -89,14 +89,6 @@ def runs(elements: np.ndarray, offs: np.ndarray, window: int, k: int) -> dict[st
     }
 
 
-def window_hashes(elements: np.ndarray, window: int) -> np.ndarray:
-    """A hash of each window of a stretch of elements."""
-    if len(elements) < window:
-        return np.zeros(0, np.int64)
-    roll = Rolling(elements, 1)
-    return mix((roll.sums[window:] - roll.sums[:-window]) * roll.back[: len(elements) - window + 1]).view(np.int64)
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping or touching half-open spans joined."""
     out: list[list[int]] = []

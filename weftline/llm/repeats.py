@@ -10,11 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE_HASH, runs
-from .common import WORD_BYTES, mapped, pieces_of, text_bytes
+from .anchors import BYTE_HASH, Rolling, runs
+from .common import mapped, pieces_of, text_bytes
 
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 20
+#: Which bytes are a word's.
+IS_WORD = np.ones(256, bool)
+IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 RUN = "anchor long, content long, second long, doc long, first long, start int, n int, place int"
 
@@ -29,35 +32,63 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), doc_key(docs, id_col, text_col).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def byte_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def byte_elements(part: pa.RecordBatch):
+    """Elements, their offsets at each row, and the bytes that they are."""
     data, offs = text_bytes(part)
-    return BYTE_HASH[data], offs
-
-
-def word_elements(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each word, made odd-free by the rolling hash's own mixing; offsets count words."""
+    return BYTE_HASH[data], offs, data, None
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, a block at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        if ends[at] - starts[at] > BLOCK:
+            out[at] = xxhash.xxh64_intdigest(data[starts[at] : ends[at]])
+            at += 1
+            continue
+        to = int(np.searchsorted(ends, starts[at] + BLOCK, side="right"))
+        low = starts[at]
+        out[at:to] = Rolling(BYTE_HASH[data[low : ends[to - 1]]], 0).of(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
+def word_elements(part: pa.RecordBatch):
+    """Hashes of the words, their offsets at each row, the bytes with one space between words, and where in these each word starts and ends."""
     data, offs = text_bytes(part)
-    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    counts = [0]
-    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-        hashes += map(digest, WORD_BYTES.findall(raw, a, b))
-        counts.append(len(hashes))
-    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+    word = IS_WORD[data]
+    # A word ends at its row's end too.
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = offs[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    size = ends - starts
+    counts = np.searchsorted(starts, offs)
+    data = np.where(word, data, np.uint8(32))[keep]
+    starts = np.cumsum(keep, dtype=np.int32)[starts].astype(np.int64) - 1
+    ends = starts + size
+    return word_hashes(data, starts, ends), counts, data, (starts, ends)
 
 
 def find_runs(keyed: DataFrame, elements, window: int, k: int) -> DataFrame:
-    """RUN rows of each document; first orders documents (the id). content and second: a 128-bit digest of the run's elements. place: where its anchor starts, from the run's start."""
+    """RUN rows of each document; first orders documents (the id). content and second: a 128-bit digest of the run's bytes (words with one space between). place: where its anchor starts, from the run's start."""
 
     def run(batches):
         for b in batches:
             for part in pieces_of(b, BLOCK):
-                values, offs = elements(part)
-                raw = text_bytes(part)[0] if elements is byte_elements else values
+                values, offs, raw, words = elements(part)
                 r = runs(values, offs, window, k)
                 rows = pa.array(r["row"])
                 low = offs[r["row"]] + r["start"]
                 high = low + r["n"] - 1 + window
+                if words:
+                    low, high = words[0][low], words[1][high - 1]
                 digest = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(low.tolist(), high.tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 out = [pa.array(r["anchor"]), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), part.column("doc").take(rows)]
                 out.append(part.column("id").cast(pa.int64()).take(rows) if pa.types.is_integer(part.schema.field("id").type) else pa.nulls(len(rows), pa.int64()))

@@ -15,7 +15,7 @@ Fingerprints are those of anchors (see anchors): an equal window has an equal
 anchor at an equal place, so the index has about an eighth of a row for each
 word. A run of windows whose whole content (a 128-bit digest of its words) is in the
 index earlier is repeated. Of anchors with several contents the windows of first
-occurrences are compared one by one, by anchor and window hash (128 bits together),
+occurrences are compared one by one, by anchor and a hash of their bytes (128 bits together),
 and those that are not the first of their kind go.
 
 Ids must be integers. A null id comes before all others; rows with equal ids are
@@ -28,15 +28,16 @@ from __future__ import annotations
 
 import functools
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import merged, window_hashes
-from .common import WORD_BYTES, cleaned, delete, dropped, mapped, saved, shared_dir, text_bytes
-from .repeats import by_document, columns, find_runs, joined, with_key, word_elements
+from .anchors import merged
+from .common import cleaned, delete, dropped, mapped, pieces_of, saved, shared_dir, text_bytes
+from .repeats import BLOCK, by_document, columns, find_runs, joined, with_key, word_elements
 
 #: Words of an anchor.
 ANCHOR = 5
@@ -45,19 +46,23 @@ PLACE = ("first", "doc", "start")
 
 
 def window_rows(batches, window: int):
-    """A row for each window of the listed runs."""
+    """A row for each window of the listed runs, with a hash of its bytes."""
     for b in batches:
-        for i in range(b.num_rows):
-            one = b.slice(i, 1)
-            values, _ = word_elements(one)
-            r = columns(one.column("rows")[0], ["anchor", "start", "n", "new"])
-            n = r["n"]
-            if not n.sum():
-                continue
-            start = np.repeat(r["start"], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            each = window_hashes(values, window)[start]
-            place = [pa.array(np.full(len(start), one.column(c)[0].as_py(), np.int64)) for c in ("id", "doc")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r["anchor"], n)), pa.array(each), *place, pa.array(start.astype(np.int32)), pa.array(np.repeat(r["new"], n))], ["anchor", "hash", "first", "doc", "start", "new"])
+        for part in pieces_of(b, BLOCK):
+            _, offs, raw, (low, high) = word_elements(part)
+            lists = part.column("rows")
+            r = lists.flatten()
+            n, start = r.field("n").to_numpy(), r.field("start").to_numpy()
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            of = np.repeat(np.arange(len(n)), n)
+            start = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            at = offs[row[of]] + start
+            each = b"".join([blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(low[at].tolist(), high[at + window - 1].tolist(), strict=True)])
+            take, of = pa.array(row[of]), pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [r.field("anchor").take(of), pa.array(np.frombuffer(each, np.int64)), part.column("id").take(take), part.column("doc").take(take), pa.array(start.astype(np.int32)), r.field("new").take(of)],
+                ["anchor", "hash", "first", "doc", "start", "new"],
+            )
 
 
 class WindowIndex:
@@ -166,7 +171,7 @@ def deduplicate(docs: DataFrame, window: int = 20, batches: int = 3, id_col: str
             n, removed, kept = [], [], []
             for i in range(b.num_rows):
                 r = columns(b.column("rows")[i], ["start", "n"])
-                words = WORD_BYTES.findall(raw, offs[i], offs[i + 1])
+                words = raw[offs[i] : offs[i + 1]].split()  # at the bytes that no word has
                 found = merged(r["start"], r["start"] + r["n"] + (window - 1))
                 n.append(len(words))
                 removed.append([{"start": s, "end": e} for s, e in found])
