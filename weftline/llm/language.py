@@ -225,9 +225,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The model of a bounded sample of the labelled rows of docs: of each language the rows with the smallest hashed ids, whole texts, up to the bounds."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
     keyed = rows.withColumn("key", F.xxhash64("id", "text"))
-    # Keys and lengths only, cut to each language's first before the shuffle: which texts are fetched is settled before any text moves.
-    first = Window.partitionBy("lang").orderBy("key", "n")
-    ranked = keyed.select("lang", "key", F.octet_length("text").alias("n")).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language)
+    # Keys and lengths only: which texts are fetched is settled before any text moves. Parts of a language are
+    # cut first, then fewer and larger ones, so that no task gets all rows of a frequent language.
+    ranked = keyed.select("lang", "key", F.octet_length("text").alias("n")).distinct()
+    for parts in (4096, 16, 1):
+        first = Window.partitionBy("lang", F.pmod("key", F.lit(parts))).orderBy("key", "n")
+        ranked = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).drop("rank")
     listed = sorted(ranked.select("lang", "key", "n").collect())
     share = min(train_bytes, model_bytes // max(1, len({r["lang"] for r in listed})))
     chosen: list[tuple[int, str]] = []
