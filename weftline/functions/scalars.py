@@ -144,10 +144,14 @@ TWO_LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ"
 
 
 def search_normalize(v) -> Column:
-    out = F.translate(stored(value(v)), *accents())
+    text = stored(value(v)).cast("string")
+    plain = F.translate(text, *accents())
+    several = plain
     for one, two in TWO_LETTERS.items():
-        out = F.replace(out, F.lit(one), F.lit(two))
-    return F.lower(out)
+        several = F.replace(several, F.lit(one), F.lit(two))
+    # Texts of ASCII letters only have a byte for each; others mostly lack the letters that become two.
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.lower(F.when(ascii_only, text).when(~plain.rlike(f"[{''.join(TWO_LETTERS)}]"), plain).otherwise(several))
 
 
 def normalized_eq(c, v) -> Column:
