@@ -5,11 +5,12 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
-from weftline.llm import ngram_lm, repeats, shards, simhash, suffix_merge, vectors, window_index
+from weftline.llm import ngram_lm, queries, repeats, shards, simhash, suffix_merge, vectors, window_index
 from weftline.llm.common import WORD, crc_mod
 from weftline.llm.components import components
 
@@ -241,6 +242,17 @@ def test_index_compacts(docs):
     assert not index.runs()
 
 
+@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op6_window_dedup"])
+def test_removal_queries_equal_their_sql(spark, docs, name, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duck.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert sum(r.n_removed > 0 for r in got) > 20
+
+
 @pytest.fixture(scope="module")
 def vector_rows():
     rng = np.random.default_rng(3)

@@ -100,6 +100,19 @@ QUERIES = {
 
 #: Where SQL says the same. The others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+places as (select doc_id, unnest(list_transform(range(len(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) as b, unnest(range(len(h) // 2)) as pos from texts),
+windows as (
+  select *, case when count(*) over f = 200 then string_agg(b, '') over f end as s
+  from places window f as (partition by doc_id order by pos rows between current row and 199 following)
+),
+repeats as (select doc_id, pos, b, s is not null and count(*) over (partition by s) > 1 as again from windows),
+covered as (select *, bool_or(again) over (partition by doc_id order by pos rows between 199 preceding and current row) as gone from repeats),
+edges as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as opens from covered)
+select t.doc_id, count(e.b) as n_bytes, count(*) filter (where e.gone) as n_removed, count(*) filter (where e.opens) as n_spans,
+  sha256(unhex(coalesce(string_agg(e.b, '' order by e.pos) filter (where not e.gone), ''))) as kept_sha256
+from texts t left join edges e using (doc_id) group by t.doc_id""",
     "op6_window_dedup": r"""
 with lists as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
 words as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from lists),
