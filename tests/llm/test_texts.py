@@ -181,6 +181,21 @@ def test_token_counts_equal_the_library(odd_texts, docs, rows, none):
     assert token_count.count_tokens(none, path, 5).count() == 0
 
 
+@pytest.mark.parametrize("long", [3, 50])
+def test_cuts_within_words_keep_counts(long, odd_texts, monkeypatch):
+    monkeypatch.setattr(token_count, "LONG", long)
+    counter = token_count.Counter(P.path("piece_bpe_32k.model"))
+    assert counter.within
+    rng = random.Random(2)
+    runs = ["".join(rng.choices(x, k=rng.randint(0, 300))) for x in ("0123456789abcdef", "abcdefghij", "ABCab12+/=", "日本語中文字", "éüß☃😀a", "▁a\n", "a") for _ in range(60)]
+    mixed = [rng.choice(["", " ", "▁", "x "]).join(rng.choices(runs, k=3)) for _ in range(300)]
+    given = odd_texts + runs + mixed
+    assert counter.lengths(given) == [len(counter.sp.encode(t)) for t in given]
+    hexed = "".join(rng.choices("0123456789abcdef", k=5000))
+    cut = counter.split(hexed)
+    assert len(cut) > 15 and "".join(x.removeprefix(token_count.GUARD) for x in cut) == hexed
+
+
 def test_codec_round_trip(odd_texts, docs, rows, none):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = bpe.load(path, P.PATTERN)
