@@ -62,6 +62,7 @@ class Counter:
         """word, or if it is long its parts, the first of which has no guard."""
         if len(word) <= LONG or not self.within:
             return [word]
+        word = word.replace(" ", MARK)
         out, at, n = [], 0, len(word)
         while at < n:
             to = at + LONG
