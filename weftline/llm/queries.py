@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,8 +100,43 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
+def either_case(pattern: str) -> str:
+    """pattern with each ASCII letter as a class of both its cases."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+#: Rules of a secret for SQL: kind, expression, and the group that must have at least so many characters.
+SECRETS_SQL = (
+    ("assign", "(" + either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("forge_token", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+)
+
+
+def secrets_sql() -> str:
+    """A match's start is the length of all that stands before it: matches, and what is between them."""
+    legs = []
+    for rank, (kind, pattern, group, least) in enumerate(SECRETS_SQL):
+        e = "'" + pattern.replace("'", "''") + "'"
+        legs.append(f"select doc_id, '{kind}' as kind, {rank} as rank, regexp_extract_all(text, {e}) as m, regexp_extract_all(text, {e}, {group}) as v, {least} as least, regexp_split_to_array(text, {e}) as gaps from texts")
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(legs)}),
+each as (select doc_id, kind, rank, least, unnest(m) as m, unnest(v) as v, unnest(gaps[1:len(m)]) as gap, unnest(range(len(m))) as k from found where len(m) > 0),
+placed as (select *, sum(length(gap) + length(m)) over (partition by doc_id, rank order by k) as stop from each),
+spans as (select doc_id, kind, rank, stop - length(m) as start, kind || ':' || (stop - length(m)) || ':' || stop as span from placed where length(v) >= least)
+select t.doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access, count(*) filter (where rank = 2) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (where rank < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans
+from texts t left join spans using (doc_id) group by t.doc_id"""
+
+
 #: Where SQL says the same. The others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": secrets_sql(),
     "op4_suffix_dedup": """
 with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 places as (select doc_id, unnest(list_transform(range(len(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) as b, unnest(range(len(h) // 2)) as pos from texts),
