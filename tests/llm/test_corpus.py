@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from weftline.llm import ngram_lm, queries, repeats, shards, simhash, suffix_merge, vectors, window_index
 from weftline.llm.common import WORD, crc_mod
@@ -242,6 +243,21 @@ def test_index_compacts(docs):
     assert not index.runs()
 
 
+def test_no_fingerprint_is_in_two_runs(docs):
+    """So a compaction only deals rows out, and groups none."""
+    keyed = window_index.with_key(docs, "doc_id", "text")
+    index = window_index.WindowIndex(docs.sparkSession, fanout=9)
+    for k in range(0, 120, 20):
+        index.add(keyed.where(f"id >= {k} and id < {k + 20}"))
+    every = index.runs()[0]
+    for r in index.runs()[1:]:
+        every = every.unionByName(r)
+    want = window_index.find_runs(keyed, window_index.word_elements, 20, 5).groupBy("anchor", "content", "second").agg(F.min(F.struct("first", "doc", "start")).alias("at"))
+    got = every.select("anchor", "content", "second", F.struct("first", "doc", "start").alias("at"))
+    assert len(index.runs()) == 6 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    index.close()
+
+
 @pytest.mark.parametrize("name", ["op3_secret_scan", "op4_suffix_dedup", "op6_window_dedup"])
 def test_queries_equal_their_sql(spark, docs, name, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
